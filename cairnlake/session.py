@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,3 +52,20 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> Dat
     """Hint a broadcast where the estimated size proves it small; else leave the
     choice (shuffled join with AQE skew handling) to the optimiser."""
     return F.broadcast(df) if estimated_bytes(df) <= limit else df
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors' Python workers this package, once a context."""
+    sc = spark.sparkContext
+    if getattr(sc, "_cairnlake_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="cairnlake-"), "cairnlake.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, files in os.walk(root):
+            for name in files:
+                if name.endswith((".py", ".npz", ".json")):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.join("cairnlake", os.path.relpath(path, root)))
+    sc.addPyFile(target)
+    sc._cairnlake_shipped = True
