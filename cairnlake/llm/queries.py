@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnlake.llm import bpe, copies, mixing, pieces, spans
+from cairnlake.llm import bpe, copies, mixing, pieces, scans, spans
 from cairnlake.session import table
 
 
@@ -18,6 +18,15 @@ def p4_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return copies.records(table(spark, sf_dir, "medications")).select("keep_id", "copies")
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.found(table(spark, sf_dir, "doc_pages")).select("page_id", "line_no", "kind").distinct()
+
+
+def p5_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as continuous paragraphs."""
+    return scans.repair(table(spark, sf_dir, "doc_pages"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = pieces.sizes(table(spark, sf_dir, "doc_pages"), "page_id", "page_content")
     s = s.filter(F.col("n_chars") > pieces.LIMIT)
@@ -59,7 +68,7 @@ _CANON = "lower(regexp_replace(regexp_replace(regexp_replace(coalesce({c}, ''),
 _P4 = f"SELECT med_id, min(med_id) OVER w AS keep_id, count(*) OVER w AS copies FROM medications WINDOW w AS (PARTITION BY coalesce(document_id, '#' || med_id), list_sort([{', '.join(_CANON.format(c=c) for c in copies.FIELDS)}]))"
 
 QUERIES = {
-    "p4_found": p4_found, "p4_records": p4_records, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_ids": p8_ids,
+    "p4_found": p4_found, "p4_records": p4_records, "p5_found": p5_found, "p5_repaired": p5_repaired, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_ids": p8_ids,
     "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_spans": p10_spans,
 }
 ORACLES = {
