@@ -5,10 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnlake.llm import bpe, copies, mixing, pairs, pieces, scans, spans
+from cairnlake.llm import bpe, copies, mixing, pairs, personal, pieces, scans, spans
 from cairnlake.session import table
 
 
+_TEXTS = (("chat_messages", "message_id", "content"), ("chat_requests", "request_id", "message"), ("custom_robert_live_eval_results", "result_id", "reply"))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = [
+        personal.items(table(spark, sf_dir, src), row_id, text).select(F.lit(src).alias("src"), "row_id", F.explode("items").alias("i")).select("src", "row_id", "i.start_pos", "i.kind")
+        for src, row_id, text in _TEXTS
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def p2_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every chat message with placeholders for its items."""
+    d = personal.items(table(spark, sf_dir, "chat_messages"), "message_id", "content")
+    return d.select(F.col("row_id").alias("message_id"), F.size("items").alias("n_items"), "masked")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = [
         pairs.defects(table(spark, sf_dir, src), "result_id", "question", answer).filter("defect IS NOT NULL").select(F.lit(src).alias("src"), "row_id", "defect")
@@ -76,7 +93,7 @@ _CANON = "lower(regexp_replace(regexp_replace(regexp_replace(coalesce({c}, ''),
 _P4 = f"SELECT med_id, min(med_id) OVER w AS keep_id, count(*) OVER w AS copies FROM medications WINDOW w AS (PARTITION BY coalesce(document_id, '#' || med_id), list_sort([{', '.join(_CANON.format(c=c) for c in copies.FIELDS)}]))"
 
 QUERIES = {
-    "p3_found": p3_found, "p4_found": p4_found, "p4_records": p4_records, "p5_found": p5_found, "p5_repaired": p5_repaired, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_ids": p8_ids,
+    "p2_found": p2_found, "p2_masked": p2_masked, "p3_found": p3_found, "p4_found": p4_found, "p4_records": p4_records, "p5_found": p5_found, "p5_repaired": p5_repaired, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_ids": p8_ids,
     "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_spans": p10_spans,
 }
 ORACLES = {
