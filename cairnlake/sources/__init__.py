@@ -1 +1 @@
-
+"""Sources operators."""
