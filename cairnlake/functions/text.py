@@ -18,7 +18,7 @@ def content_hash(c: Column) -> Column:
 
 def lexical_tokens(c: Column) -> Column:
     """Lower-case ASCII words and numbers; commas of thousands are dropped."""
-    t = F.lower(F.coalesce(c, F.lit("")))
+    t = F.lower(F.regexp_replace(F.coalesce(c, F.lit("")), r"[^\x00-\x7F]", " "))
     for _ in range(2):
         t = F.regexp_replace(t, r"([0-9]),([0-9]{3})", "$1$2")
     return F.regexp_extract_all(t, F.lit(r"([a-z0-9]+(?:\.[0-9]+)?)"), 1)

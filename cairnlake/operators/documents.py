@@ -54,7 +54,7 @@ def table_facts(df: DataFrame, id_col: str, text: str) -> DataFrame:
     """Rows of pipe tables with three cells: (id, row_no, name, value, reference)."""
     rows = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda s: s.startswith("|") & ~s.rlike(r"^\|[-| :]+\|?$"))
     d = df.select(id_col, F.posexplode(rows).alias("row_no", "_r"))
-    cells = F.transform(F.split(F.regexp_replace("_r", r"^\||\|\s*$", ""), r"\|"), F.trim)
+    cells = F.transform(F.split(F.regexp_replace("_r", r"^\||\|\s*$", ""), r"\|"), lambda x: F.trim(x))
     d = d.select(id_col, "row_no", cells.alias("_c")).filter(F.size("_c") == 3)
     d = d.select(id_col, "row_no", F.col("_c")[0].alias("name"), F.col("_c")[1].alias("value"), F.col("_c")[2].alias("reference"))
     return d.filter(F.col("value").rlike("[0-9]") & (F.col("name") != ""))
@@ -63,9 +63,13 @@ def table_facts(df: DataFrame, id_col: str, text: str) -> DataFrame:
 EVENTS = [("start", r"(?i)\bstarted ([A-Z][a-z]+)"), ("change", r"(?i)\bdose of ([A-Z][a-z]+) was changed"), ("reaction", r"(?i)\ballergy review: ([A-Z][a-z]+) caused")]
 
 
+def _event(e: str):
+    return lambda m: F.struct(F.lit(e).alias("event"), m.alias("medication"))
+
+
 def events(df: DataFrame, id_col: str, text: str) -> DataFrame:
     """Medication events: (id, event, medication), each once a text."""
-    every = F.concat(*[F.transform(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(p), 1), lambda m, e=e: F.struct(F.lit(e).alias("event"), m.alias("medication"))) for e, p in EVENTS])
+    every = F.concat(*[F.transform(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(p), 1), _event(e)) for e, p in EVENTS])
     return df.select(id_col, F.explode(F.array_distinct(every)).alias("_e")).select(id_col, "_e.event", "_e.medication")
 
 

@@ -18,6 +18,10 @@ def term_counts(df: DataFrame, id_col: str, text: str) -> DataFrame:
     return t.select(id_col, F.size("_tokens").alias("length"), F.explode("_tokens").alias("term")).groupBy(id_col, "length", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def _equals(q: str):
+    return lambda x: x == q
+
+
 def bm25(df: DataFrame, query: list[str], id_col: str, text: str, k: int | None = None) -> DataFrame:
     """(id, score) of texts with a positive score, best first.
 
@@ -31,7 +35,7 @@ def bm25(df: DataFrame, query: list[str], id_col: str, text: str, k: int | None
         weights[q] = weights.get(q, 0) + 1
     d = df.select(id_col, lexical_tokens(F.col(text)).alias("_t"))
     terms = sorted(weights)
-    tf = {q: F.size(F.filter("_t", lambda x, q=q: x == q)) for q in terms}
+    tf = {q: F.size(F.filter("_t", _equals(q))) for q in terms}
     d = d.select(id_col, F.size("_t").alias("_n"), *[tf[q].alias(f"_tf{i}") for i, q in enumerate(terms)])
     row = d.agg(F.count(F.lit(1)).alias("n"), F.avg("_n").alias("avg"), *[F.sum((F.col(f"_tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(terms))]).first()
     n, avg = row["n"], row["avg"] or 1.0

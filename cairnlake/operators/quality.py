@@ -55,7 +55,7 @@ def audit_flags(text: Column, title: Column) -> Column:
             F.when(F.length(t) > 3000, "oversize"),
             F.when(F.coalesce(title, F.lit("")) == "", "no_title"),
             F.when(t.rlike(r"^[a-z]"), "starts_inside"),
-            F.when(t.rlike(r"[A-Za-z,]$"), "ends_inside"),
+            F.when(t.rlike(r"[A-Za-z,]\z"), "ends_inside"),
             F.when(t.rlike(r"(?m)^\|[^|\n]*$"), "broken_row"),
             F.when(F.length(F.regexp_replace(t, "[^�]", "")) > 0, "bad_characters"),
         )

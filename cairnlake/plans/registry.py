@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairnlake.plans import data_quality
+from cairnlake.plans import data_quality, library
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return data_quality.p6_found(spark, sf_dir)
+    """Lexical top-k over the documents."""
+    return library.bm25_topk(spark, sf_dir)
 
 
-QUERIES = {**data_quality.QUERIES}
-ORACLES = {**data_quality.ORACLES}
+QUERIES = {**data_quality.QUERIES, **library.QUERIES}
+ORACLES = {**data_quality.ORACLES, **library.ORACLES}
