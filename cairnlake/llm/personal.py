@@ -174,6 +174,7 @@ def decode(e: np.ndarray, p: dict[str, np.ndarray]) -> list[tuple[int, int, str]
 _MAIL = re.compile(r"[\w][\w.+%-]*(?:\s?@\s?|\s?\(at\)\s?|\s?\[at\]\s?)[\w-]+(?:\.[\w-]+)+", re.I)
 _PHONE = re.compile(r"(?:\+|\()?\d[\d ()./–-]{5,}\d")
 _ID = re.compile(r"[A-Z]{2,4}-?\d[\dA-Z-]*\d|\d[\d -]{4,}\d", re.I)
+_THING = re.compile(r"\b(?:accession|lot|ndc|s/n|serial|order|batch|device|codes?|invoice|ref)\W*(?:no\b\W*)?$", re.I)  # numbers of things
 _WORD = re.compile(r"[^\W\d_]")
 _TITLE = re.compile(rf"(?:{'|'.join(TITLES)})\.?\s+", re.I)
 
@@ -206,7 +207,7 @@ def checked(text: str, spans: list[tuple[int, int, str]]) -> list[tuple[int, int
                     a += 1
                 if a and text[a - 1] == "+":
                     a -= 1
-            if kind == "id_no" and sum(c.isdigit() for c in text[a:z]) < 6:
+            if kind == "id_no" and (sum(c.isdigit() for c in text[a:z]) < 6 or _THING.search(text, max(0, a - 24), a)):
                 continue
         else:
             while a < z and not text[a].isalnum():
