@@ -208,7 +208,8 @@ def shared_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     places = lines.join(often, "h", "left_semi").select("ident", "pos").distinct().groupBy("ident").agg(F.collect_list("pos").alias("places"))
     places = places.join(texts.select(F.col("_ident").alias("ident"), "rep"), "ident").select("rep", "places")
     near = places.join(docs.select(F.col("_id").alias("rep"), "_text"), "rep")
-    windows = staged(near.select("rep", "places", "_text").mapInArrow(_windows(min_len, unit), "w long, rep long, start int"), "windows")
+    # read twice, not written: the shuffles below are reused, hashing again costs less than a table of all windows
+    windows = near.select("rep", "places", "_text").mapInArrow(_windows(min_len, unit), "w long, rep long, start int")
     both = windows.groupBy("w").agg(F.min("rep").alias("first"), F.max("rep").alias("last")).filter("first <> last").select("w", "first")
     hits = windows.join(both, "w").groupBy("rep").agg(
         F.collect_list("start").alias("starts"), F.collect_list(F.when(F.col("rep") != F.col("first"), F.col("start"))).alias("later")
