@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnlake.llm.staging import staged
+from cairnlake.llm.staging import discard, staged
 
 MIN_LEN, UNIT = 200, 120
 #: Characters hashed at a time.
@@ -208,13 +208,15 @@ def shared_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     places = lines.join(often, "h", "left_semi").select("ident", "pos").distinct().groupBy("ident").agg(F.collect_list("pos").alias("places"))
     places = places.join(texts.select(F.col("_ident").alias("ident"), "rep"), "ident").select("rep", "places")
     near = places.join(docs.select(F.col("_id").alias("rep"), "_text"), "rep")
-    # read twice, not written: the shuffles below are reused, hashing again costs less than a table of all windows
-    windows = near.select("rep", "places", "_text").mapInArrow(_windows(min_len, unit), "w long, rep long, start int")
-    both = windows.groupBy("w").agg(F.min("rep").alias("first"), F.max("rep").alias("last")).filter("first <> last").select("w", "first")
+    windows = staged(near.select("rep", "places", "_text").mapInArrow(_windows(min_len, unit), "w long, rep long, start int"), "windows")
+    discard(lines)
+    both = staged(windows.groupBy("w").agg(F.min("rep").alias("first"), F.max("rep").alias("last")).filter("first <> last").select("w", "first"), "shared")
+    discard()
     hits = windows.join(both, "w").groupBy("rep").agg(
         F.collect_list("start").alias("starts"), F.collect_list(F.when(F.col("rep") != F.col("first"), F.col("start"))).alias("later")
     )
-    spans = hits.select("rep", "starts", "later").mapInArrow(_union(min_len), "rep long, spans array<array<int>>, repeats array<array<int>>")
+    spans = staged(hits.select("rep", "starts", "later").mapInArrow(_union(min_len), "rep long, spans array<array<int>>, repeats array<array<int>>"), "spans")
+    discard(windows, both)
 
     merged = texts.join(spans, "rep", "left").filter("copies > 1 OR spans IS NOT NULL")
     whole = F.array(F.array(F.lit(0), F.col("n_chars")))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from cairnlake.session import ensure_checkpoint_dir
 
@@ -15,4 +16,17 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/staged/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete staged tables that everything later was staged from, and let Spark
+    remove the shuffle files of plans that are done with."""
+    for t in tables:
+        jvm, spark = t.sparkSession._jvm, t.sparkSession
+        place = jvm.org.apache.hadoop.fs.Path(t._staged_path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    gc.collect()
+    SparkSession.active()._jvm.System.gc()
