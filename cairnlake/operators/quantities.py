@@ -85,6 +85,7 @@ def sql(measurements: str, conversions: str, aliases: str, defaults: str | None
     head = _PLAIN + _NUM + r"(?:[eE][+-]?[0-9]+)?"
     head_x = _PLAIN + _NUM + r"\s*[x×]\s*10\^[+-]?[0-9]+"
     flag = r"^\s*(\*|\^|\((?:HH|LL|H|L)\)|(?:HH|LL|H|L)(?:\s|$))"
+    late = r"\s(\*|\^|\((?:HH|LL|H|L)\)|HH|LL|H)\s*$"  # behind the unit; a bare L could be its litre
     cast = "try_cast" if dialect == "spark" else "TRY_CAST"
     key = lambda c: _unit_key(c).replace("{g}", g).replace("\\s", "\\\\s" if dialect == "spark" else "\\s")
     factor = f"pow(CAST(10 AS DOUBLE), coalesce({cast}(nullif(x10, '') AS DOUBLE), {cast}(nullif(substr(e10, 2), '') AS DOUBLE), 0))"
@@ -100,7 +101,7 @@ cutoff AS (
   SELECT t.*, CASE WHEN x10 <> '' THEN regexp_replace({value}, {lit(head_x)}, '') ELSE regexp_replace({value}, {lit(head)}, '') END AS tail0
   FROM taken t),
 flagged AS (
-  SELECT c.*, trim(regexp_replace(tail0, {lit(flag)}, '')) AS tail FROM cutoff c),
+  SELECT c.*, trim(regexp_replace(regexp_replace(tail0, {lit(flag)}, ''), {lit(late)}, '')) AS tail FROM cutoff c),
 numbered AS (
   SELECT f.*,
     CASE WHEN num <> '' THEN {cast}(replace(CASE WHEN {like('num', lit('^[0-9]{1,3}(,[0-9]{3})+([.][0-9]+)?$'))} THEN replace(num, ',', '') ELSE num END, ',', '.') AS DOUBLE) * {factor} END AS amount,
