@@ -103,11 +103,13 @@ def test_mmr_is_greedy(spark):
     v = r.standard_normal((30, 8))
     v /= np.linalg.norm(v, axis=1, keepdims=True)
     df = spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(v)], "id long, e array<double>")
-    got = [r.id for r in vectors.mmr(df, v[0].tolist(), "id", "e", 5, 20).orderBy("rank").collect()]
-    sim = v @ v[0]
+    q = r.standard_normal(8)
+    q /= np.linalg.norm(q)
+    got = [r.id for r in vectors.mmr(df, q.tolist(), "id", "e", 5, 20).orderBy("rank").collect()]
+    sim = v @ q
     pool, want = sorted(range(30), key=lambda i: (-sim[i], i))[:20], []
     while len(want) < 5:
-        best = max(pool, key=lambda i: (0.5 * sim[i] - 0.5 * max((v[i] @ v[j] for j in want), default=0.0), -sim.tolist().index(sim[i])))
+        best = max(pool, key=lambda i: 0.5 * sim[i] - 0.5 * max((v[i] @ v[j] for j in want), default=0.0))
         pool.remove(best)
         want.append(best)
     assert got == want
