@@ -157,7 +157,7 @@ def test_files(spark, tmp_path):
         z.writestr("word/document.xml", f'<w:document {w}><w:body><w:p><w:pPr><w:pStyle w:val="Heading2"/></w:pPr><w:r><w:t>Plan</w:t></w:r></w:p><w:tbl><w:tr><w:tc><w:p><w:r><w:t>x</w:t></w:r></w:p></w:tc></w:tr></w:tbl></w:body></w:document>')
     (tmp_path / "b.html").write_text("<h1>T</h1><ul><li>one</li></ul>")
     (tmp_path / "c.txt").write_text("page one\fpage two")
-    (tmp_path / "d.exe").write_text("")
+    (tmp_path / "d.exe").write_text("x")
     d = files.checked(files.files(spark, str(tmp_path)))
     assert {os.path.basename(r.path): r.problem for r in d.select("path", "problem").collect()} == {"a.docx": None, "b.html": None, "c.txt": None, "d.exe": "unsupported"}
     got = sorted((os.path.basename(r.path), r.page_number, r.markdown) for r in files.pages(d).collect())
