@@ -191,12 +191,13 @@ def _merge(starts: np.ndarray, length: int) -> list[list[int]]:
     return np.stack([a, z], 1).tolist()
 
 
-def shared_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_len: int = MIN_LEN, unit: int = UNIT) -> DataFrame:
+def shared_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_len: int = MIN_LEN, unit: int = UNIT, passes: int = 4) -> DataFrame:
     """(id, n_chars, copies, spans, repeats, shared_chars) of every record that shares a span.
 
     ``copies``: records with the same text; ``spans``: the shared stretches as
     [start, end); ``repeats``: the part of them that an earlier record (by id)
-    has already, which a corpus would drop.
+    has already, which a corpus would drop.  ``passes``: the windows are
+    grouped in so many shares of their digests, which bounds the disk used.
     """
     docs = df.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).filter(F.length("_text") >= min_len)
     docs = docs.withColumn("_ident", F.xxhash64("_text"))
@@ -210,10 +211,16 @@ def shared_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     near = places.join(docs.select(F.col("_id").alias("rep"), "_text"), "rep")
     windows = staged(near.select("rep", "places", "_text").mapInArrow(_windows(min_len, unit), "w long, rep long, start int"), "windows")
     discard(lines)
-    both = windows.groupBy("w").agg(F.min("rep").alias("first"), F.max("rep").alias("last")).filter("first <> last").select("w", "first")
-    hits = windows.join(both, "w").groupBy("rep").agg(
-        F.collect_list("start").alias("starts"), F.collect_list(F.when(F.col("rep") != F.col("first"), F.col("start"))).alias("later")
-    )
+    parts = []
+    for i in range(passes):  # by digest, so that the shuffles of one pass are gone before the next
+        some = windows.filter(F.pmod("w", F.lit(passes)) == i)
+        both = some.groupBy("w").agg(F.min("rep").alias("first"), F.max("rep").alias("last")).filter("first <> last").select("w", "first")
+        parts.append(staged(some.join(both, "w").select("rep", "start", (F.col("rep") != F.col("first")).alias("later")), "hits"))
+        discard()
+    hits = parts[0]
+    for p in parts[1:]:
+        hits = hits.unionByName(p)
+    hits = hits.groupBy("rep").agg(F.collect_list("start").alias("starts"), F.collect_list(F.when(F.col("later"), F.col("start"))).alias("later"))
     spans = hits.select("rep", "starts", "later").mapInArrow(_union(min_len), "rep long, spans array<array<int>>, repeats array<array<int>>")
 
     merged = texts.join(spans, "rep", "left").filter("copies > 1 OR spans IS NOT NULL")
