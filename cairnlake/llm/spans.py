@@ -208,9 +208,11 @@ def shared_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     often = lines.groupBy("h").agg(F.min("ident").alias("a"), F.max("ident").alias("b")).filter("a <> b").select("h")
     places = lines.join(often, "h", "left_semi").select("ident", "pos").distinct().groupBy("ident").agg(F.collect_list("pos").alias("places"))
     places = places.join(texts.select(F.col("_ident").alias("ident"), "rep"), "ident").select("rep", "places")
+    places = staged(places, "places")
+    discard(lines)
     near = places.join(docs.select(F.col("_id").alias("rep"), "_text"), "rep")
     windows = staged(near.select("rep", "places", "_text").mapInArrow(_windows(min_len, unit), "w long, rep long, start int"), "windows")
-    discard(lines)
+    discard()
     parts = []
     for i in range(passes):  # by digest, so that the shuffles of one pass are gone before the next
         some = windows.filter(F.pmod("w", F.lit(passes)) == i)
