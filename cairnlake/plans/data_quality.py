@@ -14,7 +14,9 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     tenants = table(spark, sf_dir, "tenants")
     parts = [
         normalise_instants(table(spark, sf_dir, src), tenants, row_id, value, local)
-        .filter(F.col("utc_us").isNotNull() & ~F.col("canonical"))
+        # the partition number keeps the filter above the steps: pushed down, it would repeat all of them
+        .withColumn("_part", F.spark_partition_id())
+        .filter(F.col("utc_us").isNotNull() & ~F.col("canonical") & (F.col("_part") >= 0))
         .select(F.lit(src).alias("src"), F.col("row_id").cast("long").alias("row_id"), "utc_us")
         for src, row_id, value, local in (("doc_pages", "page_id", "encounter_date", True), ("usage_records", "record_id", "timestamp_utc", False))
     ]
