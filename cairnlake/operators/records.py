@@ -92,6 +92,31 @@ def identity_score(query: Column, mrn: Column, name: Column) -> Column:
     )
 
 
+def identity_matches(requests: DataFrame, request_id: str, text: str, patients: DataFrame, mrn: str, name: str, least: float = 70.0) -> DataFrame:
+    """Patients of ``identity_score`` at ``least`` (over 60) or more for every request. Pairs meet by the last characters
+    of the record number, the first ones of the name or a word of it, so each that can score is compared and no other."""
+
+    def squeezed(c: Column) -> Column:
+        return F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]", "")
+
+    def pieces(c: Column, n: int) -> Column:
+        return F.when(F.length(c) >= n, F.transform(F.sequence(F.lit(1), F.length(c) - (n - 1)), lambda i: F.substring(c, i, n))).otherwise(F.array().cast("array<string>"))
+
+    def tagged(tag: str, a: Column) -> Column:
+        return F.transform(a, lambda x: F.concat(F.lit(tag), x))
+
+    p = patients.select(F.when(squeezed(F.col(mrn)) != "", F.col(mrn)).alias("_m"), F.col(mrn), F.col(name), squeezed(F.col(mrn)).alias("_s"), name_key(F.col(name)).alias("_n")).distinct()
+    tail, head = F.substring("_s", -6, 6), F.substring("_n", 1, 4)
+    sizes = p.select(F.collect_set(F.length(tail)).alias("t"), F.collect_set(F.length(head)).alias("h")).first()
+    keys = F.concat(tagged("m", F.array(tail)), tagged("n", F.array(head)), tagged("w", F.split("_n", " ")))
+    p = p.select("_m", mrn, name, F.explode(F.array_distinct(F.filter(keys, lambda x: F.length(x) > 1))).alias("_k"))
+    s, q = squeezed(F.col(text)), name_key(F.col(text))
+    parts = [tagged("m", pieces(s, n)) for n in sizes.t if n] + [tagged("n", pieces(q, n)) for n in sizes.h if n] + [tagged("w", F.split(q, " "))]
+    r = requests.select(request_id, text, F.explode(F.array_distinct(F.concat(*parts))).alias("_k"))
+    pairs = r.join(broadcast_if_small(p), "_k").drop("_k").distinct()
+    return pairs.withColumn("score", identity_score(F.col(text), F.col("_m"), F.col(name))).filter(F.col("score") >= least).select(request_id, mrn, name, "score")
+
+
 def merged_lists(df: DataFrame, document: str, keys: list[str], order: str) -> DataFrame:
     """Items of several extractions as one list: the first of each composite key, blank keys dropped."""
     key = F.concat_ws("\x1f", *[name_key(F.col(k)) for k in keys])

@@ -104,6 +104,22 @@ def mmr_topk(spark: SparkSession, d: str) -> DataFrame:
     return vectors.mmr(table(spark, d, "embeddings"), _probe(spark, d), "vec_id", "embedding", 10, 40)
 
 
+def _query_set(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "embeddings").filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+@query(f"""WITH s AS (SELECT q.vec_id AS query_id, e.vec_id, round({_COS}, 12) AS c FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0)
+  SELECT query_id, vec_id, rank, round(c, 5) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, vec_id) - 1 AS rank FROM s) WHERE rank < 10""")
+def dense_topk_set(spark: SparkSession, d: str) -> DataFrame:
+    near = vectors.top_k_set(table(spark, d, "embeddings"), _query_set(spark, d), "query_id", "vec_id", "embedding", 10)
+    return near.select("query_id", "vec_id", "rank", F.round("similarity", 5).alias("similarity"))
+
+
+@query()
+def mmr_topk_set(spark: SparkSession, d: str) -> DataFrame:
+    return vectors.mmr_set(table(spark, d, "embeddings"), _query_set(spark, d), "query_id", "vec_id", "embedding", 10, 40)
+
+
 _DIST = "1 - list_sum(list_transform(list_zip(embedding, p), lambda z: CAST(z[1] AS DOUBLE) * CAST(z[2] AS DOUBLE)))"
 
 
@@ -285,6 +301,16 @@ def identity_resolution(spark: SparkSession, d: str) -> DataFrame:
     return s.filter("score >= 70").select("patient_mrn", "patient_name", F.round("score", 4).alias("score"))
 
 
+@query("""WITH p AS (SELECT *, list_filter(string_split(n, ' '), lambda x: length(x) > 1) AS w FROM (SELECT DISTINCT patient_mrn, patient_name, regexp_replace(lower(patient_mrn), '[^a-z0-9]', '', 'g') AS m, trim(regexp_replace(lower(coalesce(patient_name, '')), '[^a-z0-9]+', ' ', 'g')) AS n FROM doc_pages WHERE patient_mrn IS NOT NULL)),
+  r AS (SELECT request_id, regexp_replace(lower(message), '[^a-z0-9]', '', 'g') AS s, trim(regexp_replace(lower(coalesce(message, '')), '[^a-z0-9]+', ' ', 'g')) AS q FROM chat_requests)
+  SELECT request_id, patient_mrn, patient_name, round(score, 4) AS score FROM (SELECT request_id, patient_mrn, patient_name, CASE WHEN m <> '' AND contains(s, m) THEN 100.0 WHEN n <> '' AND contains(q, n) THEN 100.0 WHEN hit > 0 THEN 60.0 + 35.0 * hit ELSE 0.0 END AS score
+  FROM (SELECT *, len(list_filter(w, lambda x: list_contains(string_split(q, ' '), x))) / greatest(len(w), 1) AS hit FROM r, p)) WHERE score >= 70""")
+def identity_requests(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "doc_pages").filter("patient_mrn IS NOT NULL").select("patient_mrn", "patient_name")
+    s = records.identity_matches(table(spark, d, "chat_requests"), "request_id", "message", p, "patient_mrn", "patient_name")
+    return s.select("request_id", "patient_mrn", "patient_name", F.round("score", 4).alias("score"))
+
+
 _KEY = "trim(regexp_replace(lower(coalesce({c}, '')), '[^a-z0-9]+', ' ', 'g'))"
 _MKEY = " || chr(31) || ".join(_KEY.format(c=c) for c in ("name", "dose", "route", "frequency"))
 
