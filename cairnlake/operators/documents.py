@@ -85,6 +85,41 @@ def grounding(df: DataFrame, id_col: str, text: str, sources: Column) -> DataFra
     )
 
 
+# Numbers that need a source, the first of a sentence counts.
+CLAIMS = [
+    ("medication/dose value", r"\d+(?:\.\d+)?\s*(?:mg|mcg|µg|mEq|mL|L|g|units?|mmol)\b"),
+    ("lab value", r"\d+(?:\.\d+)?\s*(?:mg/dL|mmol/L|pg/mL|ng/mL|IU/L|U/L|mEq/L|g/dL|%)(?!\w)"),
+    ("blood pressure", r"\bBP\s+\d{2,3}/\d{2,3}\b|\b\d{2,3}/\d{2,3}\s*mmHg\b"),
+    ("heart rate", r"\bHR\s+\d+\b|\bpulse\s+of\s+\d+\b|\bheart\s+rate\s+(?:of\s+|was\s+)?\d+\b"),
+    ("oxygen saturation", r"\bSpO2\s+(?:of\s+)?\d+\b|\bO2\s+sat(?:uration)?\s+(?:of\s+)?\d+\b"),
+    ("temperature", r"\btemperature\s+(?:of\s+)?\d+(?:\.\d+)?\s*(?:°[CF]|degrees?)\b"),
+    ("weight", r"\bweight\s+(?:of\s+)?\d+(?:\.\d+)?\s*(?:kg|lbs?|pounds?)\b"),
+    ("HbA1c value", r"\bHbA1c\s+(?:of\s+)?\d+(?:\.\d+)?%?\b|\bA1c\s+(?:of\s+)?\d+(?:\.\d+)?%?\b"),
+]
+CITED = r"\[S([0-9]+)(?:[,\s][^\]]+)?\]"
+
+
+def claim(sentence: Column) -> Column:
+    """Label of the first of ``CLAIMS`` in a sentence without citation, else null."""
+    out = F.lit(None).cast("string")
+    for label, p in reversed(CLAIMS):
+        out = F.when(sentence.rlike("(?iuU)" + p), F.lit(label)).otherwise(out)
+    return F.when(~sentence.rlike(CITED), out)
+
+
+def claims(df: DataFrame, id_col: str, text: str, sources: Column) -> DataFrame:
+    """As ``grounding``, with all claims of ``CLAIMS`` and the labels of those that name no source, in order."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    cited = F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(t, F.lit(CITED), 1), lambda x: x.cast("int"))))
+    labels = F.filter(F.transform(sentences(t), claim), lambda x: x.isNotNull())
+    d = df.select(id_col, cited.alias("cited"), labels.alias("labels"), sources.alias("_n"))
+    invalid = F.size(F.filter("cited", lambda x: (x < 1) | (x > F.col("_n"))))
+    return d.select(
+        id_col, F.size("cited").alias("n_cited"), F.coalesce(F.array_max("cited"), F.lit(0)).alias("max_source"), invalid.alias("invalid"), F.size("labels").alias("uncited"),
+        F.array_join("labels", "; ").alias("labels"), F.round(F.size("cited") / F.greatest("_n", F.lit(1)), 3).alias("coverage"), ((invalid == 0) & (F.size("labels") == 0)).alias("grounded"),
+    )
+
+
 def packed(df: DataFrame, group: str, order: str, size: Column, budget: int) -> DataFrame:
     """Greedy packing in order: a new pack begins when the next item does not fit."""
     items = df.select(group, order, size.alias("_n")).groupBy(group).agg(F.array_sort(F.collect_list(F.struct(order, "_n"))).alias("_i"))

@@ -275,6 +275,22 @@ def grounding_check(spark: SparkSession, d: str) -> DataFrame:
     return g.drop("grounded")
 
 
+def _re2(p: str) -> str:
+    """A pattern of the operators for DuckDB, which has neither look-ahead nor classes beyond ASCII."""
+    return p.replace(r"(?!\w)", r"(?:[^\p{L}\p{N}_]|$)").replace(r"\w", r"\p{L}\p{N}_").replace(r"\d", r"\p{Nd}").replace(r"\s", r"[\s\p{Z}]")
+
+
+_CITED = r"\[S([0-9]+)(?:[,\s][^\]]+)?\]"
+_CLAIM = " ".join(f"WHEN regexp_matches(s, '(?i){_re2(p)}') THEN '{label}'" for label, p in documents.CLAIMS)
+
+
+@query(f"""SELECT result_id, len(c) AS n_cited, coalesce(list_max(c), 0) AS max_source, len(list_filter(c, lambda x: x < 1 OR x > 9)) AS invalid, len(l) AS uncited, array_to_string(l, '; ') AS labels, CAST(round(len(c) / 9, 3) AS DOUBLE) AS coverage, len(list_filter(c, lambda x: x < 1 OR x > 9)) = 0 AND len(l) = 0 AS grounded
+  FROM (SELECT result_id, list_distinct(list_transform(regexp_extract_all(coalesce(reply, ''), '{_CITED}', 1), lambda x: CAST(x AS INT))) AS c,
+  list_filter(list_transform({_SENT}, lambda s: CASE WHEN regexp_matches(s, '{_CITED}') THEN NULL {_CLAIM} END), lambda x: x IS NOT NULL) AS l FROM custom_robert_live_eval_results)""")
+def grounding_claims(spark: SparkSession, d: str) -> DataFrame:
+    return documents.claims(table(spark, d, "custom_robert_live_eval_results"), "result_id", "reply", F.lit(9))
+
+
 @query("""SELECT document_id, page_number, page_id FROM doc_pages WHERE tenant_id = 'tn-01' AND document_id IN (SELECT document_id FROM doc_pages WHERE tenant_id = 'tn-01' ORDER BY document_id LIMIT 1)""")
 def scope_filter(spark: SparkSession, d: str) -> DataFrame:
     pages = table(spark, d, "doc_pages")
