@@ -41,6 +41,27 @@ def extracted(df: DataFrame, id_col: str, text: str) -> DataFrame:
     return df.select(id_col, first_match(t, MRN, 4).alias("mrn"), first_match(t, DATE).alias("first_date"))
 
 
+# Record numbers and dates by their labels, the surest first.
+RECORD_NUMBERS = [
+    (r"\b(?:mrn|medical\s+record\s+(?:number|no\.?|#))\s*(?:is\s*|:\s*|#?\s*)([A-Z0-9][\w\-]+)", 1),
+    (r"\b(?:med\.?\s*rec\.?\s*(?:no\.?|number|#)|mr\s*#|mr\s*no\.?)\s*:?\s*([A-Z0-9][\w\-]+)", 1),
+    (r"\b(?:record\s+(?:number|no\.?|#))\s*:?\s*([A-Z0-9][\w\-]+)", 1), (r"\bMRN\s*\|?\s+([A-Z0-9][\w\-]{3,})", 1), (r"\b(MRN-\d{4}-\d{4,})\b", 1),
+]
+_DAY = r"\s*:\s*(\d{1,2}[/\-]\d{1,2}[/\-]\d{2,4})"
+ENCOUNTER_DATES = [(p + _DAY, 1) for p in (r"(?:admission|admit)\s+date", r"date\s+of\s+service", r"encounter\s+date", r"visit\s+date", r"(?:^|\n)\s*date")]
+HEAD = 3000
+
+
+def record_keys(df: DataFrame, id_col: str, text: str) -> DataFrame:
+    """Labelled record number and encounter date: of the head where it has one, else of the whole text."""
+
+    def found(patterns: list[tuple[str, int]], least: int) -> Column:
+        p = [("(?iuU)" + x, g) for x, g in patterns]
+        return F.coalesce(first_match(F.substring(F.col(text), 1, HEAD), p, least), first_match(F.col(text), p, least))
+
+    return df.select(id_col, found(RECORD_NUMBERS, 4).alias("mrn"), found(ENCOUNTER_DATES, 1).alias("encounter_date"))
+
+
 def sections(df: DataFrame, id_col: str, text: str) -> DataFrame:
     """Heading sections of marked-up text: (id, section_no, title, body)."""
     parts = F.split(F.concat(F.lit("\n"), F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"\r", "")), r"\n(?=#{1,4} )")

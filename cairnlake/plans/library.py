@@ -243,6 +243,21 @@ def extract_mrn_date(spark: SparkSession, d: str) -> DataFrame:
     return documents.extracted(r, "result_id", "_x")
 
 
+def _re2(p: str) -> str:
+    """A pattern of the operators for DuckDB, which has neither look-ahead nor classes beyond ASCII."""
+    return p.replace(r"(?!\w)", r"(?:[^\p{L}\p{N}_]|$)").replace(r"\w", r"\p{L}\p{N}_").replace(r"\d", r"\p{Nd}").replace(r"\s", r"[\s\p{Z}]")
+
+
+def _keys_sql(patterns: list[tuple[str, int]], least: int) -> str:
+    p = [("(?i)" + _re2(x), g) for x, g in patterns]
+    return f"coalesce({_first_sql(p, least).replace('(t,', '(h,')}, {_first_sql(p, least)})"
+
+
+@query(f"SELECT page_id, {_keys_sql(documents.RECORD_NUMBERS, 4)} AS mrn, {_keys_sql(documents.ENCOUNTER_DATES, 1)} AS encounter_date FROM (SELECT page_id, coalesce(page_content, '') AS t, substr(coalesce(page_content, ''), 1, 3000) AS h FROM doc_pages)")
+def record_keys(spark: SparkSession, d: str) -> DataFrame:
+    return documents.record_keys(table(spark, d, "doc_pages"), "page_id", "page_content")
+
+
 @query("""WITH r AS (SELECT page_id, unnest(list_filter(string_split(coalesce(page_content, ''), chr(10)), lambda s: starts_with(s, '|') AND NOT regexp_matches(s, '^\\|[-| :]+\\|?$'))) AS r, generate_subscripts(list_filter(string_split(coalesce(page_content, ''), chr(10)), lambda s: starts_with(s, '|') AND NOT regexp_matches(s, '^\\|[-| :]+\\|?$')), 1) - 1 AS row_no FROM doc_pages),
   c AS (SELECT page_id, row_no, list_transform(string_split(regexp_replace(r, '^\\||\\|\\s*$', '', 'g'), '|'), lambda x: trim(x)) AS c FROM r)
   SELECT page_id, row_no, c[1] AS name, c[2] AS value, c[3] AS reference FROM c WHERE len(c) = 3 AND regexp_matches(c[2], '[0-9]') AND c[1] <> ''""")
@@ -275,11 +290,6 @@ def grounding_check(spark: SparkSession, d: str) -> DataFrame:
     return g.drop("grounded")
 
 
-def _re2(p: str) -> str:
-    """A pattern of the operators for DuckDB, which has neither look-ahead nor classes beyond ASCII."""
-    return p.replace(r"(?!\w)", r"(?:[^\p{L}\p{N}_]|$)").replace(r"\w", r"\p{L}\p{N}_").replace(r"\d", r"\p{Nd}").replace(r"\s", r"[\s\p{Z}]")
-
-
 _CITED = r"\[S([0-9]+)(?:[,\s][^\]]+)?\]"
 _CLAIM = " ".join(f"WHEN regexp_matches(s, '(?i){_re2(p)}') THEN '{label}'" for label, p in documents.CLAIMS)
 
