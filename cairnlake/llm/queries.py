@@ -21,9 +21,12 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every chat message with placeholders for its items."""
-    d = personal.items(table(spark, sf_dir, "chat_messages"), "message_id", "content")
-    return d.select(F.col("row_id").alias("message_id"), F.size("items").alias("n_items"), "masked")
+    """Every text with placeholders for its items."""
+    parts = [
+        personal.items(table(spark, sf_dir, src), row_id, text).select(F.lit(src).alias("src"), "row_id", F.size("items").alias("n_items"), "masked")
+        for src, row_id, text in _TEXTS
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,9 @@ from cairnlake.operators.quantities import alias_values, sql, to_common_units
 from cairnlake.session import table
 
 
+_DATES = (("doc_pages", "page_id", "encounter_date", True), ("usage_records", "record_id", "timestamp_utc", False))
+
+
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     tenants = table(spark, sf_dir, "tenants")
     parts = [
@@ -18,15 +21,19 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
         .withColumn("_part", F.spark_partition_id())
         .filter(F.col("utc_us").isNotNull() & ~F.col("canonical") & (F.col("_part") >= 0))
         .select(F.lit(src).alias("src"), F.col("row_id").cast("long").alias("row_id"), "utc_us")
-        for src, row_id, value, local in (("doc_pages", "page_id", "encounter_date", True), ("usage_records", "record_id", "timestamp_utc", False))
+        for src, row_id, value, local in _DATES
     ]
     return parts[0].unionByName(parts[1])
 
 
 def p1_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every usage record's instant, also of those already canonical."""
-    d = normalise_instants(table(spark, sf_dir, "usage_records"), table(spark, sf_dir, "tenants"), "record_id", "timestamp_utc", False)
-    return d.select(F.col("row_id").alias("record_id"), "utc_us", "canonical")
+    """Every row's instant, also of those already canonical."""
+    tenants = table(spark, sf_dir, "tenants")
+    parts = [
+        normalise_instants(table(spark, sf_dir, src), tenants, row_id, value, local).select(F.lit(src).alias("src"), F.col("row_id").cast("long").alias("row_id"), "utc_us", "canonical")
+        for src, row_id, value, local in _DATES
+    ]
+    return parts[0].unionByName(parts[1])
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
