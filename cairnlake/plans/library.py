@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cairnlake.functions.text import content_hash, lexical_tokens, version_of
-from cairnlake.operators import documents, fusion, lexical, quality, records, vectors
+from cairnlake.operators import documents, events, fusion, lexical, quality, records, vectors
 from cairnlake.session import broadcast_if_small, table
 from cairnlake.streaming import windows
 
@@ -273,6 +273,11 @@ def event_facts(spark: SparkSession, d: str) -> DataFrame:
     return documents.events(table(spark, d, "doc_pages"), "page_id", "page_content")
 
 
+@query()
+def clinical_events(spark: SparkSession, d: str) -> DataFrame:
+    return events.clinical_events(table(spark, d, "doc_pages"), "page_id", "page_content", F.col("section_title"), F.col("document_type"))
+
+
 @query("""SELECT page_id, count(*) AS sections, sum(CASE WHEN title THEN 1 ELSE 0 END) AS titled FROM (SELECT page_id, regexp_matches(s, '^#{1,4} [^\\n]') AS title, s FROM (SELECT page_id, unnest(string_split(regexp_replace(chr(10) || replace(coalesce(page_content, ''), chr(13), ''), '\\n(#{1,4} )', chr(1) || '\\1', 'g'), chr(1))) AS s FROM doc_pages))
   WHERE title OR trim(regexp_replace(regexp_replace(s, '^#{1,4} [^\\n]*', ''), '^\\n+|\\n+$', '', 'g')) <> '' GROUP BY page_id""")
 def chunk_sections(spark: SparkSession, d: str) -> DataFrame:
