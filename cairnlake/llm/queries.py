@@ -92,12 +92,17 @@ def p10_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.shared_spans(table(spark, sf_dir, "documents")).select("doc_id", "n_chars", "copies", "spans", "repeats")
 
 
+def p10_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without its repeats."""
+    return spans.kept(table(spark, sf_dir, "documents"))
+
+
 _CANON = "lower(regexp_replace(regexp_replace(regexp_replace(coalesce({c}, ''), '([\\p{{N}}])([^\\p{{L}}\\p{{N}}\\s\\p{{Z}}])([\\p{{N}}])', '\\1\x02\\2\x02\\3', 'g'), '([\\p{{N}}])([^\\p{{L}}\\p{{N}}\\s\\p{{Z}}\x02])([\\p{{N}}])', '\\1\x02\\2\x02\\3', 'g'), '\x02([^\x02])\x02|[^\\p{{L}}\\p{{N}}]', '\\1', 'g'))"
 _P4 = f"SELECT med_id, min(med_id) OVER w AS keep_id, count(*) OVER w AS copies FROM medications WINDOW w AS (PARTITION BY coalesce(document_id, '#' || med_id), list_sort([{', '.join(_CANON.format(c=c) for c in copies.FIELDS)}]))"
 
 QUERIES = {
     "p2_found": p2_found, "p2_masked": p2_masked, "p3_found": p3_found, "p4_found": p4_found, "p4_records": p4_records, "p5_found": p5_found, "p5_repaired": p5_repaired, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_ids": p8_ids,
-    "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_spans": p10_spans,
+    "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_spans": p10_spans, "p10_kept": p10_kept,
 }
 ORACLES = {
     "p4_found": f"SELECT keep_id, med_id AS copy_id FROM ({_P4}) WHERE med_id <> keep_id",

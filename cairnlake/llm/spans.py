@@ -235,3 +235,14 @@ def shared_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.when(many & (F.col("_id") != F.col("rep")), whole).otherwise(F.coalesce("repeats", F.array().cast("array<array<int>>"))).alias("repeats"),
     )
     return out.withColumn("shared_chars", F.aggregate("spans", F.lit(0), lambda n, s: n + s[1] - s[0]))
+
+
+def kept(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """(id, start_pos, end_pos, piece) of what is left of every record without its ``repeats``, by original offsets."""
+    cuts = shared_spans(df, id_col, text_col, **options).select(id_col, "repeats")
+    d = df.select(id_col, F.col(text_col).alias("_text")).filter(F.length("_text") > 0).join(cuts, id_col, "left")
+    r = F.coalesce("repeats", F.array().cast("array<array<int>>"))
+    starts = F.concat(F.array(F.lit(0)), F.transform(r, lambda s: s[1]))
+    ends = F.concat(F.transform(r, lambda s: s[0]), F.array(F.length("_text")))
+    d = d.select(id_col, "_text", F.explode(F.arrays_zip(starts.alias("a"), ends.alias("z"))).alias("_s")).filter("_s.a < _s.z")
+    return d.select(id_col, F.col("_s.a").alias("start_pos"), F.col("_s.z").alias("end_pos"), F.expr("substring(_text, _s.a + 1, _s.z - _s.a)").alias("piece"))
