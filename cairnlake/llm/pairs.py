@@ -173,6 +173,16 @@ def defect(question: str | None, answer: str | None) -> str | None:
     return DEFECTS[k] if z[k] > 0 else None
 
 
+def every_defect(question: str | None, answer: str | None) -> list[str]:
+    """All defects whose unit passes its threshold, the surest first; the first is that of ``defect``."""
+    if is_empty(answer):
+        return ["empty"]
+    w, thresholds = model()
+    at, v = vector(question, answer)
+    z = w[:, at] @ v - thresholds
+    return [DEFECTS[k] for k in np.argsort(-z, kind="stable") if z[k] > 0]
+
+
 def defects(df: DataFrame, row_id: str, question: str | Column, answer: str | Column) -> DataFrame:
     """(row_id, defect) of every pair; null where the pair is sound."""
 
@@ -184,3 +194,15 @@ def defects(df: DataFrame, row_id: str, question: str | Column, answer: str | Co
     q = F.col(question) if isinstance(question, str) else question
     a = F.col(answer) if isinstance(answer, str) else answer
     return df.select(F.col(row_id).cast("long").alias("row_id"), q.alias("_q"), a.alias("_a")).mapInArrow(run, "row_id long, defect string")
+
+
+def all_defects(df: DataFrame, row_id: str, question: str, answer: str) -> DataFrame:
+    """(row_id, defect), a row for every defect of a pair."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [every_defect(q, a) for q, a in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.string()))], names=["row_id", "found"])
+
+    d = df.select(F.col(row_id).cast("long").alias("row_id"), F.col(question).alias("_q"), F.col(answer).alias("_a")).mapInArrow(run, "row_id long, found array<string>")
+    return d.select("row_id", F.explode("found").alias("defect"))

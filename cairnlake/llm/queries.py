@@ -37,6 +37,15 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+def p3_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``p3_found``, with every defect of a pair."""
+    parts = [
+        pairs.all_defects(table(spark, sf_dir, src), "result_id", "question", answer).select(F.lit(src).alias("src"), "row_id", "defect")
+        for src, answer in (("sample_questions_eval_results", "answer"), ("custom_robert_live_eval_results", "reply"))
+    ]
+    return parts[0].unionByName(parts[1])
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return copies.copies(table(spark, sf_dir, "medications"))
 
@@ -101,7 +110,7 @@ _CANON = "lower(regexp_replace(regexp_replace(regexp_replace(coalesce({c}, ''),
 _P4 = f"SELECT med_id, min(med_id) OVER w AS keep_id, count(*) OVER w AS copies FROM medications WINDOW w AS (PARTITION BY coalesce(document_id, '#' || med_id), list_sort([{', '.join(_CANON.format(c=c) for c in copies.FIELDS)}]))"
 
 QUERIES = {
-    "p2_found": p2_found, "p2_masked": p2_masked, "p3_found": p3_found, "p4_found": p4_found, "p4_records": p4_records, "p5_found": p5_found, "p5_repaired": p5_repaired, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_ids": p8_ids,
+    "p2_found": p2_found, "p2_masked": p2_masked, "p3_found": p3_found, "p3_all": p3_all, "p4_found": p4_found, "p4_records": p4_records, "p5_found": p5_found, "p5_repaired": p5_repaired, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_ids": p8_ids,
     "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_spans": p10_spans, "p10_kept": p10_kept,
 }
 ORACLES = {
