@@ -14,47 +14,70 @@ from pathlib import Path
 
 import pyarrow.parquet as pq
 
-from cairnlake.llm.scans import CONFUSIONS, LABELS, edge_lines, edge_view, features, viterbi
-
-_TOWNS = ("Ashby", "Millford", "Norwick", "Brookham", "Stanmere", "Kingsport", "Eastbury", "Holloway", "Redcombe", "Larkstead")
-_HOUSES = ("Family Clinic", "General Hospital", "Medical Center", "Heart Institute", "Memorial Hospital", "Health Practice", "Day Unit", "Urgent Care", "Outpatient Department")
-_KINDS = ("Radiology Report", "Progress Note", "Consult Note", "Discharge Summary", "General", "Lab Report", "Operative Note", "Referral")
-_SECTIONS = ("History", "Hospital Course", "Review of Systems", "Follow-up", "Assessment and Plan", "Allergies", "Vitals", "Primary Insurance", "Medications")
+from cairnlake.llm.scans import CONFUSIONS, LABELS, SAME_PLACE, Layout, expanded, features, normalised, viterbi
+
+_SYLLABLES = ("bar", "cle", "don", "esk", "fair", "gil", "hun", "ing", "jar", "kel", "lin", "mor", "net", "over", "pres", "quin", "ros", "shel", "tor", "ull", "ver", "whit", "yar")
+_ENDS = ("ton", "ley", "worth", "dale", "wick", "pool", "gate", "bridge", "well", "moor")
+_HOUSES = ("Hospital", "Infirmary", "Surgery", "Clinic", "Health Centre", "Medical Group", "Polyclinic", "Practice", "Rehabilitation Centre", "Institute of Cardiology", "Children's Hospital", "Laboratories")
+_KINDS = ("Summary", "Letter", "Ward round", "Report of findings", "Consultation", "Transfer form", "Theatre record", "Medication chart", "Request", "Nursing note", "Imaging", "Record", "Notes", "Outpatient letter")
+_WORDS = ("Confidential", "Original", "Duplicate", "Draft", "Copy", "Printed", "Internal use only", "Restricted", "Continuation sheet", "cont'd", "continued", "Do not remove", "File copy", "Form", "Version", "Sheet")
+_SECTIONS = ("Summary", "Findings", "Diagnosis", "Plan", "Social History", "Medication on admission", "Examination", "Advice", "Coverage")
 _TESTS = ("Glucose", "Sodium", "Ferritin", "Albumin", "Urea", "Calcium", "Platelets", "Hemoglobin", "Lactate", "Magnesium")
-_NAMES = ("Mara", "Jonas", "Edda", "Finn", "Ruth", "Oskar", "Lena", "Pavel"), ("Holt", "Brandt", "Ferrow", "Linde", "Marsh", "Okoro", "Vance", "Weller")
+_SEPARATORS = (" | ", " - ", " – ", ", ", "   ", " / ", ": ", "    ", " ", "; ")
+
+
+def _word(r: random.Random) -> str:
+    return "".join(r.choice(_SYLLABLES) for _ in range(r.randint(1, 2))).capitalize() + r.choice(("", "", r.choice(_ENDS)))
+
+
+def _running(r: random.Random) -> str:
+    """A running line: a few parts in any order, between any marks, in any case."""
+    digits = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+    parts = {
+        "house": lambda: f"{_word(r)} {r.choice(_HOUSES)}", "kind": lambda: r.choice(_KINDS), "word": lambda: r.choice(_WORDS), "person": lambda: f"{_word(r)} {_word(r)}", "family": lambda: f"{_word(r).upper()}, {_word(r)}",
+        "number": lambda: r.choice(("", "No. ", "ID ", "Ref ")) + "".join(r.choice("ABCDEFGHJKLMNPRSTW") for _ in range(r.randint(0, 3))) + r.choice(("", "-")) + digits(r.randint(4, 10)),
+        "date": lambda: r.choice((f"{digits(2)}/{digits(2)}/20{digits(2)}", f"{digits(2)}.{digits(2)}.{digits(2)}", f"20{digits(2)}-{digits(2)}-{digits(2)} {digits(2)}:{digits(2)}", f"born {digits(2)}/{digits(2)}/19{digits(2)}")),
+        "page": lambda: r.choice(("Page #", "page # of @", "p. #", "Sheet #/@", "(#)")),
+    }
+    chosen = r.sample(("house", "house", "kind", "word", "person", "family", "number", "date", "page"), r.choice((1, 1, 2, 2, 2, 3, 4)))
+    if len(chosen) == 1 and chosen[0] in ("number", "date", "page"):
+        chosen = ["house"]
+    line = r.choice(_SEPARATORS).join(parts[c]() for c in dict.fromkeys(chosen))
+    if r.random() < 0.15:
+        line += f" ({parts[r.choice(('kind', 'word', 'number'))]()})"
+    x = r.random()
+    return line.upper() if x < 0.2 else line.lower() if x < 0.25 else line
 
 
 def _document(r: random.Random, bodies: list[str]) -> list[list[tuple[str, str]]]:
     """Pages of one scan: (line, label)."""
-    place, kind = f"{r.choice(_TOWNS)} {r.choice(_HOUSES)}", r.choice(_KINDS)
-    name = f"{r.choice(_NAMES[0])} {r.choice(_NAMES[1])}"
-    stamp = f"{r.randint(1, 12):02}/{r.randint(1, 28):02}/{r.randint(2019, 2026)} {r.randint(0, 23):02}:{r.randint(0, 59):02}"
-    running = [
-        f"{place} | {kind}", place.upper(), f"{kind}, continued", f"CONFIDENTIAL - {place}", f"Chart copy {r.randint(1000, 9999)} / {place}", f"Printed {stamp} by {name.split()[1].upper()[:6]}",
-        f"{name}   MRN-{r.randint(2018, 2026)}-{r.randint(0, 9999999):07}   DOB {r.randint(1, 12):02}/{r.randint(1, 28):02}/{r.randint(1930, 2005)}", f"{kind}    Page #", f"{name} ({kind}) - Page #", f"{place}, {kind}",
-    ]
-    numbers = ["#", "- # -", "– # –", "[#]", "Page #", "Page # of @", "Pg #", "p. #", "# / @", "roman", "(#)"]
-    heads = r.sample(running, r.choice((0, 1, 1, 2)))
+    numbers = ["#", "- # -", "– # –", "[#]", "Page #", "Page # of @", "Pg #", "p. #", "# / @", "roman", "(#)", "-#-", "page #/@", "# of @", "PAGE #"]
+    heads = [_running(r) for _ in range(r.choice((0, 1, 1, 2, 3)))]
     number = r.choice(numbers) if r.random() < 0.75 else None
     top_number, top = r.random() < 0.3, [r.random() < 0.6 for _ in heads]
-    first, pages, width = r.choice((1, 1, 1, r.randint(2, 20))), r.randint(1, 9), r.randint(48, 92)
+    first, pages, width = r.choice((1, 1, 1, r.randint(2, 20))), r.choice((1, 2, 3, r.randint(1, 9))), r.randint(40, 96)
+    own = [r.choice((r.choice(_SECTIONS), r.choice((" ", " ", " and ", " of ")).join(_word(r) for _ in range(r.randint(1, 3))))) for _ in range(r.randint(1, 4))]
+    often = r.choice((0.06, 0.12, 0.25))
+    tall = r.random() < 0.12  # a letterhead of many lines above the running one
     out = []
     for p in range(pages):
         rows: list[tuple[str, str]] = []
-        while len(rows) < r.randint(10, 45):
+        want = r.choice((r.randint(0, 3), r.randint(4, 45), r.randint(10, 45), r.randint(10, 45)))
+        while len(rows) < want:
             x = r.random()
-            if x < 0.1:
-                s = r.choice(_SECTIONS)
+            if x < often:
+                s = r.choice(own)
                 rows += [("", "break")] * r.randint(0, 1) + [(r.choice((s, s + ":", "## " + s)), "body")] + [("", "break")] * r.randint(0, 1)
-            elif x < 0.2:
+            elif x < often + 0.1:
                 for _ in range(r.randint(1, 5)):
                     rows += [(r.choice(_TESTS), "body"), (str(r.choice((r.randint(2, 400), r.randint(2, 99)))), "body")]
-            elif x < 0.23:
-                rows.append((f"Page {r.randint(1, 4)} of the {r.choice(('consent form', 'referral', 'leaflet'))} was {r.choice(('reviewed', 'signed', 'read'))} with the {r.choice(('resident', 'family', 'case manager', 'dietitian'))}.", "body"))
+            elif x < often + 0.15:
+                what = r.choice(("form", "booklet", "diary", "questionnaire", "order set", "care plan"))
+                rows.append((r.choice((f"See page {r.randint(1, 30)} of the {what} for details.", f"The {what} has {r.randint(2, 9)} pages.", f"Pages {r.randint(1, 5)} to {r.randint(6, 9)} of the {what} were completed at home.", f"Page {r.randint(1, 9)} of the {what} is missing.", f"Page {r.randint(1, 9)} of the {what} was read with the {r.choice(('ward', 'evening', 'outreach'))} team.")), "body"))
             else:
                 rows += [(s, "body") for s in textwrap.wrap(r.choice(bodies), width)] + [("", "break")] * r.randint(0, 1)
         rows = rows[r.randint(0, 4) :] if p else rows
-        rows = rows[: len(rows) - r.randint(0, 6)]
+        rows = rows[: max(0, len(rows) - r.randint(0, 6))] if want > 3 else rows
 
         def dress(s: str, n: int = p) -> str:
             shown = str(first + n)
@@ -76,39 +99,56 @@ def _document(r: random.Random, bodies: list[str]) -> list[list[tuple[str, str]]
             line = ("      " * (r.random() < 0.3) + dress(number), "page_no")
             ups.insert(0, line) if top_number else downs.append(line)
         gap = [("", "break")] * (r.random() < 0.4)
-        out.append(ups + (gap if ups else []) + rows + downs)
-    return out
+        if tall and not p and ups:
+            letter = [(s, "body") for k in range(r.randint(2, 4)) for s in textwrap.wrap(r.choice(bodies), width)[:2]]
+            ups = letter[: r.randint(3, 9)] + ups
+        page = ups + (gap if ups else []) + rows + downs
+        if tall and out and r.random() < 0.3 and len(out[-1]) + len(page) < 90:
+            out[-1] = out[-1] + page  # two sheets in one page of the table
+        else:
+            out.append(page)
+    return [p for p in out if p]
 
 
 def examples(bodies: list[str], documents: int, seed: int):
+    """(lines, numbers of repeated lines, labels) of pages."""
     r = random.Random(seed)
     for _ in range(documents):
         if r.random() < 0.3:  # pages that were never on paper
+            if r.random() < 0.3:  # a page of a few words, which may come again
+                s = r.choice(("Blank page", "No text on this side", "See overleaf", "Page left empty on purpose", "End of record", "Nothing recorded", " ".join(_word(r) for _ in range(r.randint(1, 4)))))
+                yield [s], {0: r.random() < 0.5} if r.random() < 0.5 else {}, ["body"]
             for text in r.sample(bodies, min(3, len(bodies))):
-                yield text.split("\n\n")[:1], set(), ["body"]
+                yield text.split("\n\n")[:1], {}, ["body"]
             continue
         pages = _document(r, bodies)
-        seen = defaultdict(set)
+        seen = defaultdict(list)
         for p, page in enumerate(pages):
-            for _, d in edge_lines([s for s, _ in page]):
-                seen[d].add(p)
+            for i, (s, _) in enumerate(page):
+                seen[normalised(s)].append((p, i, len(page) - 1 - i))
+        again = {}
+        for s, at in seen.items():
+            if s and len({x[0] for x in at}) > 1:
+                again[s] = any(max(x[k] for x in at) - min(x[k] for x in at) <= SAME_PLACE for k in (1, 2))
         for page in pages:
             lines = [s for s, _ in page]
-            repeated = {i for i, d in edge_lines(lines) if len(seen[d]) > 1}
-            view = edge_view(lines)
-            yield [lines[i] for i in view], {k for k, i in enumerate(view) if i in repeated}, ["break" if not lines[i].strip() else page[i][1] for i in view]
+            yield lines, {i: again[normalised(s)] for i, s in enumerate(lines) if normalised(s) in again}, ["break" if not s.strip() else lab for s, lab in page]
 
 
-def train(bodies: list[str], documents: int = 2000, rounds: int = 4, seed: int = 3) -> dict:
+def train(bodies: list[str], documents: int = 3600, rounds: int = 4, seed: int = 3) -> dict:
     n = len(LABELS)
     w, total = defaultdict(lambda: [0.0] * n), defaultdict(lambda: [0.0] * n)
     moves, moves_total, t = [[0.0] * n for _ in range(n + 1)], [[0.0] * n for _ in range(n + 1)], 1
-    data = [(features(a, b), [LABELS.index(x) for x in c]) for a, b, c in examples(bodies, documents, seed)]
+    data = [([expanded(f) for f in features(a, b)], [LABELS.index(x) for x in c]) for a, b, c in examples(bodies, documents, seed)]
     r = random.Random(seed)
     for _ in range(rounds):
         r.shuffle(data)
         for feats, gold in data:
-            guess = viterbi(feats, w, moves)
+            emits = []
+            for f in feats:
+                rows = [w[x] for x in f if x in w]
+                emits.append([sum(v[j] for v in rows) for j in range(n)])
+            guess = viterbi(emits, moves)
             t += 1
             if guess == gold:
                 continue
@@ -129,8 +169,9 @@ def train(bodies: list[str], documents: int = 2000, rounds: int = 4, seed: int =
 def held_out(model: dict, bodies: list[str], seed: int = 99) -> dict[str, tuple[int, int, int]]:
     """(right, found, true) of each label on documents not trained on."""
     n = {x: [0, 0, 0] for x in LABELS}
-    for lines, repeated, gold in examples(bodies, 150, seed):
-        for g, k in zip(gold, viterbi(features(lines, repeated), model["weights"], model["moves"])):
+    layout = Layout(model["weights"], model["moves"])
+    for lines, repeated, gold in examples(bodies, 300, seed):
+        for g, k in zip(gold, layout.path(features(lines, repeated))):
             n[LABELS[k]][1] += 1
             n[g][2] += 1
             n[g][0] += g == LABELS[k]
