@@ -4,9 +4,9 @@ Pure SQL: ``regexp_extract`` takes number and unit from the value, aliases are
 normalised by a join, the unit is coalesced from the text, the unit field and
 the source's default, then factor and offset of the test are applied.
 
-One projection, three joins with tables of fixed size (aliases, conversions,
-defaults), broadcast only after their estimated size is checked; no shuffle of
-the measurements.  The patterns use no look-around, so the same text runs in
+One projection and three lookups: aliases, conversions and defaults are
+broadcast where counting shows at most 10,000 rows, so the measurements are not
+shuffled (beyond that the optimiser joins them).  The patterns use no look-around, so the same text runs in
 any engine with linear-time regular expressions.
 
 Defined results: ranges, words, no number, no or unfitting unit, unknown or
@@ -20,7 +20,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairnlake.session import broadcast_if_small
+from cairnlake.session import bounded, listed
 
 # Notations of mass, amount, charge, volume and cell-count units.
 MASS = {"g": ("g", "gm", "gms", "gram", "grams"), "mg": ("mg", "mgs"), "µg": ("µg", "ug", "mcg"), "ng": ("ng",), "pg": ("pg",)}
@@ -55,11 +55,6 @@ def alias_rows() -> list[tuple[str, str, str, float]]:
     return list(dict.fromkeys(rows))
 
 
-def alias_values() -> str:
-    """The aliases as a SQL ``VALUES`` list."""
-    return ", ".join(f"('{a}', '{u}', '{d}', CAST({s!r} AS DOUBLE))" for a, u, d, s in alias_rows())
-
-
 # groups of the number: 2 the number, 3 to 5 its parts; a long run behind a comma is a fraction, three digits group thousands
 _NUM = r"([0-9]+,[0-9]{4,}|[0-9]{1,3}(,[0-9]{3})+(\.[0-9]+)?|[0-9]+([.,][0-9]+)?)"
 _PLAIN = r"^\s*([A-Za-z][A-Za-z0-9 \-]*:)?\s*(?:<=|>=|≤|≥|<|>|~|≈|=)?\s*"
@@ -73,12 +68,22 @@ def _unit_key(col: str) -> str:
     )
 
 
-def sql(measurements: str, conversions: str, aliases: str, defaults: str | None = None, dialect: str = "spark", value: str = "value", unit: str = "unit", test: str = "test") -> str:
+def factors_sql(conversions: str, aliases: str) -> str:
+    """(test, common_unit, from_unit, factor, shift): the listed conversions and, within a
+    dimension, those to every other scale of a listed unit."""
+    return f"""
+SELECT test, common_unit, from_unit, factor, shift FROM (
+  SELECT v.test, v.common_unit, u.unit AS from_unit, CASE WHEN u.unit = v.unit THEN v.factor ELSE v.factor * (u.size / lu.size) END AS factor, v.shift,
+    row_number() OVER (PARTITION BY v.test, u.unit ORDER BY CASE WHEN u.unit = v.unit THEN 0 ELSE 1 END, v.unit) AS rank
+  FROM {conversions} v
+  JOIN (SELECT DISTINCT unit, dimension, size FROM {aliases}) lu ON lu.unit = v.unit
+  JOIN (SELECT DISTINCT unit, dimension, size FROM {aliases}) u ON u.dimension = lu.dimension) WHERE rank = 1"""
+
+
+def sql(measurements: str, factors: str, aliases: str, defaults: str | None = None, value: str = "value", unit: str = "unit", test: str = "test") -> str:
     """The whole operator as one statement over registered tables."""
     rx = "regexp_extract"
-    g = "" if dialect == "spark" else ", 'g'"
-    like = (lambda c, p: f"{c} RLIKE {p}") if dialect == "spark" else (lambda c, p: f"regexp_matches({c}, {p})")
-    lit = lambda p: "'" + (p.replace("\\", "\\\\") if dialect == "spark" else p) + "'"
+    lit = lambda p: "'" + p.replace("\\", "\\\\") + "'"
     num_only = _PLAIN + _NUM
     exp_e = _PLAIN + _NUM + r"([eE][+-]?[0-9]+)"
     exp_x = _PLAIN + _NUM + r"\s*[x×]\s*10\^([+-]?[0-9]+)(\s*/)?"
@@ -86,11 +91,11 @@ def sql(measurements: str, conversions: str, aliases: str, defaults: str | None
     head_x = _PLAIN + _NUM + r"\s*[x×]\s*10\^[+-]?[0-9]+"
     flag = r"^\s*(\*|\^|\((?:HH|LL|H|L)\)|(?:HH|LL|H|L)(?:\s|$))"
     late = r"\s(\*|\^|\((?:HH|LL|H|L)\)|HH|LL|H)\s*$"  # behind the unit; a bare L could be its litre
-    cast = "try_cast" if dialect == "spark" else "TRY_CAST"
-    key = lambda c: _unit_key(c).replace("{g}", g).replace("\\s", "\\\\s" if dialect == "spark" else "\\s")
-    factor = f"pow(CAST(10 AS DOUBLE), coalesce({cast}(nullif(x10, '') AS DOUBLE), {cast}(nullif(substr(e10, 2), '') AS DOUBLE), 0))"
-    default = f"LEFT JOIN {defaults} df ON df.test = m.test" if defaults else ""
-    default_unit = "df.default_unit" if defaults else "CAST(NULL AS VARCHAR(9))" if dialect != "spark" else "CAST(NULL AS STRING)"
+    key = lambda c: _unit_key(c).replace("{g}", "").replace("\\s", "\\\\s")
+    factor = "pow(CAST(10 AS DOUBLE), coalesce(try_cast(nullif(x10, '') AS DOUBLE), try_cast(nullif(substr(e10, 2), '') AS DOUBLE), 0))"
+    default = f"LEFT JOIN {defaults} df ON df.test = m.{test}" if defaults else ""
+    default_unit = "df.default_unit" if defaults else "CAST(NULL AS STRING)"
+    none_given = "coalesce(m.field_key, '') IN ('', '-', 'n/a')"
     return f"""
 WITH taken AS (
   SELECT m.*, {rx}({value}, {lit(num_only)}, 2) AS num,
@@ -104,23 +109,16 @@ flagged AS (
   SELECT c.*, trim(regexp_replace(regexp_replace(tail0, {lit(flag)}, ''), {lit(late)}, '')) AS tail FROM cutoff c),
 numbered AS (
   SELECT f.*,
-    CASE WHEN num <> '' THEN {cast}(replace(CASE WHEN {like('num', lit('^[0-9]{1,3}(,[0-9]{3})+([.][0-9]+)?$'))} THEN replace(num, ',', '') ELSE num END, ',', '.') AS DOUBLE) * {factor} END AS amount,
+    CASE WHEN num <> '' THEN try_cast(replace(CASE WHEN num RLIKE {lit('^[0-9]{1,3}(,[0-9]{3})+([.][0-9]+)?$')} THEN replace(num, ',', '') ELSE num END, ',', '.') AS DOUBLE) * {factor} END AS amount,
     {key('tail')} AS text_key, {key(unit)} AS field_key
   FROM flagged f),
 aliased AS (
   SELECT m.*, ta.unit AS text_unit, fa.unit AS field_unit, {default_unit} AS default_unit,
-    CASE WHEN m.text_key <> '' THEN ta.unit ELSE coalesce(fa.unit, CASE WHEN coalesce(m.field_key, '') IN ('', '-', 'n/a') THEN {default_unit} END) END AS found_unit,
-    CASE WHEN m.text_key <> '' THEN CASE WHEN ta.unit IS NOT NULL THEN 'text' END WHEN fa.unit IS NOT NULL THEN 'field' WHEN coalesce(m.field_key, '') IN ('', '-', 'n/a') AND {default_unit} IS NOT NULL THEN 'default' END AS unit_from
-  FROM numbered m LEFT JOIN {aliases} ta ON ta.alias = m.text_key LEFT JOIN {aliases} fa ON fa.alias = m.field_key {default}),
-factors AS (
-  SELECT v.test, v.common_unit, u.unit AS from_unit,
-    CASE WHEN u.unit = v.unit THEN v.factor ELSE v.factor * (u.size / lu.size) END AS factor, v.shift,
-    row_number() OVER (PARTITION BY v.test, u.unit ORDER BY CASE WHEN u.unit = v.unit THEN 0 ELSE 1 END, v.unit) AS rank
-  FROM {conversions} v
-  JOIN (SELECT DISTINCT unit, dimension, size FROM {aliases}) lu ON lu.unit = v.unit
-  JOIN (SELECT DISTINCT unit, dimension, size FROM {aliases}) u ON u.dimension = lu.dimension)
+    CASE WHEN m.text_key <> '' THEN ta.unit ELSE coalesce(fa.unit, CASE WHEN {none_given} THEN {default_unit} END) END AS found_unit,
+    CASE WHEN m.text_key <> '' THEN CASE WHEN ta.unit IS NOT NULL THEN 'text' END WHEN fa.unit IS NOT NULL THEN 'field' WHEN {none_given} AND {default_unit} IS NOT NULL THEN 'default' END AS unit_from
+  FROM numbered m LEFT JOIN {aliases} ta ON ta.alias = m.text_key LEFT JOIN {aliases} fa ON fa.alias = m.field_key {default})
 SELECT a.*, k.common_unit, CASE WHEN a.amount IS NOT NULL THEN a.amount * k.factor + k.shift END AS common_value
-FROM aliased a LEFT JOIN (SELECT * FROM factors WHERE rank = 1) k ON k.test = a.{test} AND k.from_unit = a.found_unit"""
+FROM aliased a LEFT JOIN {factors} k ON k.test = a.{test} AND k.from_unit = a.found_unit"""
 
 
 def to_common_units(df: DataFrame, lab_units: DataFrame, source_defaults: DataFrame | None = None) -> DataFrame:
@@ -131,12 +129,12 @@ def to_common_units(df: DataFrame, lab_units: DataFrame, source_defaults: DataFr
     text nor field names a unit.
     """
     spark: SparkSession = df.sparkSession
-    aliases = spark.createDataFrame(alias_rows(), "alias string, unit string, dimension string, size double")
-    names = {"_q_measurements": df, "_q_conversions": broadcast_if_small(lab_units), "_q_aliases": broadcast_if_small(aliases)}
+    aliases = listed(spark, alias_rows(), "alias string, unit string, dimension string, size double")
+    factors = bounded(spark.sql(factors_sql("{c}", "{a}"), c=lab_units, a=aliases))
+    names = {"m": df, "f": factors, "a": aliases}
     if source_defaults is not None:
-        names["_q_defaults"] = broadcast_if_small(source_defaults)
-    args = {f"t{i}": d for i, d in enumerate(names.values())}
-    text = sql("{t0}", "{t1}", "{t2}", "{t3}" if source_defaults is not None else None)
+        names["d"] = bounded(source_defaults)
+    text = sql("{m}", "{f}", "{a}", "{d}" if source_defaults is not None else None)
     for brace in ("{1,3}", "{3}", "{4,}"):
         text = text.replace(brace, "{" + brace + "}")
-    return spark.sql(text, **args)
+    return spark.sql(text, **names)

@@ -37,12 +37,6 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return named
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and cut its lineage."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def estimated_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of the optimised plan."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
@@ -54,6 +48,28 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> Dat
     return F.broadcast(df) if estimated_bytes(df) <= limit else df
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """A table too small to be read by all cores, dealt to them, for work that is
+    heavy by the row; larger ones are split as they are read and stay so."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    small = estimated_bytes(df) < cores * 4 * (4 << 20)
+    return df.repartition(cores, *keys) if small else df
+
+
+def bounded(df: DataFrame, most_rows: int = 10_000) -> DataFrame:
+    """``df`` for a broadcast, where counting shows at most ``most_rows`` rows;
+    else ``df`` as it is, which leaves the join to the optimiser."""
+    rows = df.limit(most_rows + 1).collect()
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema)) if len(rows) <= most_rows else df
+
+
+def listed(spark: SparkSession, rows: list[tuple], schema: str, most_rows: int = 10_000) -> DataFrame:
+    """Rows the driver holds already, for a broadcast if they are few."""
+    d = spark.createDataFrame(rows, schema)
+    return F.broadcast(d) if len(rows) <= most_rows else d
+
+
 def ship(spark: SparkSession) -> None:
     """Give the executors' Python workers this package, once a context."""
     sc = spark.sparkContext
