@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cairnlake.session import spread
+
 DEFECTS = ("truncated", "refusal", "copy", "language")
 BUCKETS = 1 << 15
 
@@ -193,7 +195,7 @@ def defects(df: DataFrame, row_id: str, question: str | Column, answer: str | Co
 
     q = F.col(question) if isinstance(question, str) else question
     a = F.col(answer) if isinstance(answer, str) else answer
-    return df.select(F.col(row_id).cast("long").alias("row_id"), q.alias("_q"), a.alias("_a")).mapInArrow(run, "row_id long, defect string")
+    return spread(df.select(F.col(row_id).cast("long").alias("row_id"), q.alias("_q"), a.alias("_a"))).mapInArrow(run, "row_id long, defect string")
 
 
 def all_defects(df: DataFrame, row_id: str, question: str, answer: str) -> DataFrame:

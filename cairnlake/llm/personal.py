@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cairnlake.session import spread
+
 KINDS = ("name", "email", "phone", "id_no", "address")
 TAGS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 WINDOW, OVERLAP, BATCH = 192, 64, 192
@@ -270,4 +272,4 @@ def items(df: DataFrame, row_id: str, text: str) -> DataFrame:
                     [b.column(0), pa.array([[{"start_pos": a, "end_pos": z, "kind": k} for a, z, k in r] for r in rows], kind), pa.array([masked(t, r) for t, r in zip(texts, rows)], pa.string())], names=["row_id", "items", "masked"]
                 )
 
-    return df.select(F.col(row_id).cast("long").alias("row_id"), F.col(text).alias("_t")).filter(F.col("_t").isNotNull()).mapInArrow(run, _ITEMS)
+    return spread(df.select(F.col(row_id).cast("long").alias("row_id"), F.col(text).alias("_t")).filter(F.col("_t").isNotNull())).mapInArrow(run, _ITEMS)

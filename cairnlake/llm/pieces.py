@@ -3,9 +3,10 @@
 Items are handled by ranges: a worker sees one range with halos of its
 neighbours, measures it and finds its boundaries; the ranges' tables are
 stitched by prefix sums over their lengths, and each range emits its pieces
-with offsets of the whole item.  Files are read range by range by seeking, no
-worker loads one whole; texts in a column are cut into ranges in a narrow
-pass and only measures of texts with several ranges are shuffled.
+with offsets of the whole item.  Files are read range by range by seeking, on
+any file system that Arrow opens by address, and no worker loads one whole;
+texts in a column are cut into ranges in a narrow pass, and only measures and
+pieces of texts with several ranges are shuffled.
 
 A piece ends at the best boundary of its second half: after a paragraph, a
 line, a sentence, a clause, a word; with none of these it is cut at the limit.
@@ -18,11 +19,11 @@ give one; lengths and offsets count code points.
 
 from __future__ import annotations
 
-import os
 import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,7 +31,7 @@ from pyspark.sql import types as T
 from cairnlake.llm.staging import staged
 
 LIMIT, OVERLAP = 1000, 200
-RANGE_CHARS = 1 << 16
+RANGE_CHARS = 1 << 12
 RANGE_BYTES = 1 << 24
 _BOUNDARIES = tuple(re.compile(p) for p in (r"\n[^\S\n]*\n\s*", r"\n", r"[.!?。！？][\"')\]]*\s+", r"[,;:]\s+", r"\s"))
 _SPACE = re.compile(r"\s")
@@ -67,44 +68,55 @@ def range_cut(text: str, edge: int, limit: int) -> int:
 
 
 _RANGE = "range_no int, n_ranges int, body string, left string, right string"
+_MEASURES = "range_no int, n_ranges int, chars int, lead int, trail int, longest int"
+#: Characters of pieces that a Python worker holds before it hands them on.
+_HOLD = 1 << 20
 
 
-def ranges_of(df: DataFrame, key: str, text: str, size: int, limit: int) -> DataFrame:
-    """One row a range: its characters and the halo on either side."""
-    schema = T.StructType([T.StructField("key", df.schema[key].dataType), *T._parse_datatype_string(_RANGE).fields])
+def _runs(text: str) -> tuple[int, int, int]:
+    """Characters without white space at the start, at the end and the most in a row."""
+    if not _SPACE.search(text):
+        return len(text), len(text), len(text)
+    parts = _SPACE.split(text)
+    return len(parts[0]), len(parts[-1]), max(map(len, parts))
+
+
+def _with(key: T.DataType, rest: str) -> T.StructType:
+    return T.StructType([T.StructField("key", key), *T._parse_datatype_string(rest).fields])
+
+
+def _batch(keys: pa.Array, at: list[int], columns: list[list], kinds: tuple, names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([keys.take(pa.array(at, pa.int32())), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=names)
+
+
+def measures_of_column(df: DataFrame, key: str, text: str, size: int) -> DataFrame:
+    """The boundary table: per range of ``size`` characters its length and its runs without white space."""
+    schema = _with(df.schema[key].dataType, _MEASURES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cols: list[list] = [[] for _ in schema.fields]
-            for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            at, cols = [], [[] for _ in range(6)]
+            for k, t in enumerate(b.column(1)):
+                t = t.as_py()
                 n = max(1, -(-len(t) // size))
                 for r in range(n):
-                    a, z = r * size, min((r + 1) * size, len(t))
-                    for c, v in zip(cols, (k, r, n, t[a:z], t[max(0, a - limit) : a], t[z : z + limit])):
+                    body = t[r * size : (r + 1) * size]
+                    at.append(k)
+                    for c, v in zip(cols, (r, n, len(body), *_runs(body))):
                         c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], b.schema.field(0).type), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32()), *(pa.array(c, pa.string()) for c in cols[3:])], names=schema.names)
+            yield _batch(b.column(0), at, cols, (pa.int32(),) * 6, schema.names)
 
     return df.select(F.col(key), F.col(text)).filter(F.col(text).isNotNull()).mapInArrow(run, schema)
 
 
-def _runs(text: str) -> tuple[int, int, int]:
-    """Characters without white space at the start, at the end and the most in a row."""
-    if not _SPACE.search(text):
-        return len(text), len(text), len(text)
-    parts = _SPACE.split(text)
-    return len(parts[0]), len(parts[-1]), max(map(len, parts))
-
-
 def measures(ranges: DataFrame) -> DataFrame:
-    """The boundary table: per range its length and its runs without white space."""
-    schema = T.StructType([ranges.schema["key"], *T._parse_datatype_string("range_no int, n_ranges int, chars int, lead int, trail int, longest int").fields])
+    """As ``measures_of_column``, of ranges at hand."""
+    schema = _with(ranges.schema["key"].dataType, _MEASURES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            bodies = b.column(3).to_pylist()
-            runs = [_runs(t) for t in bodies]
-            cols = [[len(t) for t in bodies], *([r[i] for r in runs] for i in range(3))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *(pa.array(c, pa.int32()) for c in cols)], names=schema.names)
+            runs = [(len(t), *_runs(t)) for t in b.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *(pa.array([r[i] for r in runs], pa.int32()) for i in range(4))], names=schema.names)
 
     return ranges.select("key", "range_no", "n_ranges", "body").mapInArrow(run, schema)
 
@@ -123,41 +135,54 @@ def stitched(table: DataFrame) -> DataFrame:
     return one.unionByName(d.select(one.columns))
 
 
-def sizes(df: DataFrame, key: str, text: str, range_chars: int = RANGE_CHARS, limit: int = LIMIT) -> DataFrame:
-    """(key, n_chars, longest_run) of every item that is not null."""
-    s = stitched(measures(ranges_of(df, key, text, range_chars, limit)))
+def sizes(df: DataFrame, key: str, text: str, range_chars: int = RANGE_CHARS) -> DataFrame:
+    """(key, n_chars, longest_run) of every item that is not null, from the boundary table."""
+    s = stitched(staged(measures_of_column(df, key, text, range_chars), "measures"))
     one = s.filter("n_ranges = 1").select("key", F.col("chars").cast("long").alias("n_chars"), F.col("run").alias("longest_run"))
     many = s.filter("n_ranges > 1").groupBy("key").agg(F.sum("chars").alias("n_chars"), F.max("run").alias("longest_run"))
     return one.unionByName(many).withColumnRenamed("key", key)
 
 
-def _emit(limit: int, overlap: int, schema: T.StructType):
+def range_pieces(r: int, n: int, body: str, left: str, limit: int, overlap: int) -> Iterator[tuple[int, str]]:
+    """(offset from the range's first character, piece) of one range, whose left halo stands before it."""
+    if not body:
+        return
+    text = left + body
+    begin = 0 if r == 0 else range_cut(text, len(left), limit) - overlap
+    end = len(text) if r == n - 1 else range_cut(text, len(text), limit)
+    for a, z in cut(text, max(0, begin), end, limit, overlap):
+        yield a - len(left), text[a:z]
+
+
+_PIECES = "range_no int, n_ranges int, at long, piece string"
+_PIECE_KINDS = (pa.int32(), pa.int32(), pa.int64(), pa.string())
+
+
+def _emitter(limit: int, overlap: int, names: list[str], ranges_of_row):
+    """Batches of pieces of at most about ``_HOLD`` characters."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, out = [], [[], [], [], []]
-            for i, (r, n, body, left, right) in enumerate(zip(*(b.column(k).to_pylist() for k in range(1, 6)))):
-                text = left + body
-                begin = 0 if r == 0 else range_cut(text, len(left), limit) - overlap
-                end = len(text) if r == n - 1 else range_cut(text, len(text), limit)
-                if not body:
-                    continue
-                for a, z in cut(text, max(0, begin), end, limit, overlap):
-                    keys.append(i)
-                    for c, v in zip(out, (r, n, a - len(left), text[a:z])):
-                        c.append(v)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(pa.array(keys, pa.int32())), pa.array(out[0], pa.int32()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.string())], names=schema.names
-            )
+            at, cols, held = [], [[], [], [], []], 0
+            for k in range(b.num_rows):
+                for r, n, body, left in ranges_of_row(b, k):
+                    for start, piece in range_pieces(r, n, body, left, limit, overlap):
+                        at.append(k)
+                        held += len(piece)
+                        for c, v in zip(cols, (r, n, start, piece)):
+                            c.append(v)
+                    if held > _HOLD:
+                        yield _batch(b.column(0), at, cols, _PIECE_KINDS, names)
+                        at, cols, held = [], [[], [], [], []], 0
+            yield _batch(b.column(0), at, cols, _PIECE_KINDS, names)
 
     return run
 
 
-def pieces_of_ranges(ranges: DataFrame, table: DataFrame, limit: int, overlap: int) -> DataFrame:
-    """(key, piece_no, start, piece): offsets of the ranges are added where an item has several."""
-    schema = T.StructType([ranges.schema["key"], *T._parse_datatype_string("range_no int, n_ranges int, at long, piece string").fields])
-    d = ranges.select("key", "range_no", "n_ranges", "body", "left", "right").mapInArrow(_emit(limit, overlap, schema), schema)
-    one = d.filter("n_ranges = 1").select("key", F.col("at").alias("start"), "piece")
-    many = d.filter("n_ranges > 1").join(table.filter("n_ranges > 1").select("key", "range_no", "offset"), ["key", "range_no"])
+def placed(pieces: DataFrame, table: DataFrame) -> DataFrame:
+    """(key, start, piece): offsets of the ranges are added where an item has several."""
+    one = pieces.filter("n_ranges = 1").select("key", F.col("at").alias("start"), "piece")
+    many = pieces.filter("n_ranges > 1").join(table.filter("n_ranges > 1").select("key", "range_no", "offset"), ["key", "range_no"])
     return one.unionByName(many.select("key", (F.col("at") + F.col("offset")).alias("start"), "piece"))
 
 
@@ -165,8 +190,18 @@ def split_column(df: DataFrame, key: str, text: str, limit: int = LIMIT, overlap
     """(key, start, piece) of every item; ``key`` must be unique."""
     if not 0 <= overlap < limit // 2 or range_chars < 4 * limit:
         raise ValueError("need 0 <= overlap < limit / 2 and ranges of four limits at least")
-    ranges = ranges_of(df, key, text, range_chars, limit)
-    return pieces_of_ranges(ranges, stitched(measures(ranges)), limit, overlap).withColumnRenamed("key", key)
+
+    def ranges_of_row(b: pa.RecordBatch, k: int) -> Iterator[tuple[int, int, str, str]]:
+        t = b.column(1)[k].as_py()
+        n = max(1, -(-len(t) // range_chars))
+        for r in range(n):
+            a = r * range_chars
+            yield r, n, t[a : a + range_chars], t[max(0, a - limit) : a]
+
+    schema = _with(df.schema[key].dataType, _PIECES)
+    table = stitched(staged(measures_of_column(df, key, text, range_chars), "measures"))
+    pieces = df.select(F.col(key), F.col(text)).filter(F.col(text).isNotNull()).mapInArrow(_emitter(limit, overlap, schema.names, ranges_of_row), schema)
+    return placed(staged(pieces, "pieces"), table).withColumnRenamed("key", key)
 
 
 def split_files(spark: SparkSession, path: str, limit: int = LIMIT, overlap: int = OVERLAP, range_bytes: int = RANGE_BYTES) -> DataFrame:
@@ -186,15 +221,21 @@ def split_files(spark: SparkSession, path: str, limit: int = LIMIT, overlap: int
                     [pa.array([key]), pa.array([r], pa.int32()), pa.array([n_ranges], pa.int32()), pa.array([body]), pa.array([left[-limit:]]), pa.array([right[:limit]])], names=["key", "range_no", "n_ranges", "body", "left", "right"]
                 )
 
-    ranges = todo.select("key", "n_ranges", "range_no").mapInArrow(read, "key string, " + _RANGE)
-    return pieces_of_ranges(ranges, stitched(measures(ranges)), limit, overlap).withColumnRenamed("key", "path")
+    ranges = staged(todo.select("key", "n_ranges", "range_no").mapInArrow(read, "key string, " + _RANGE), "range_texts")
+
+    def ranges_of_row(b: pa.RecordBatch, k: int) -> Iterator[tuple[int, int, str, str]]:
+        yield tuple(b.column(i)[k].as_py() for i in range(1, 5))
+
+    schema = _with(T.StringType(), _PIECES)
+    pieces = ranges.select("key", "range_no", "n_ranges", "body", "left").mapInArrow(_emitter(limit, overlap, schema.names, ranges_of_row), schema)
+    return placed(pieces, stitched(measures(ranges.select("key", "range_no", "n_ranges", "body")))).withColumnRenamed("key", "path")
 
 
 def _read_range(path: str, r: int, size: int, halo: int) -> tuple[str, str, str]:
     """Characters whose first byte lies in the range, and the halos."""
-    name = re.sub(r"^file:/+", "/", path)
-    a, z = r * size, min((r + 1) * size, os.path.getsize(name))
-    with open(name, "rb") as f:
+    system, name = fs.FileSystem.from_uri(path if re.match(r"[a-z0-9]+://", path) else re.sub(r"^file:/+", "/", path))
+    a, z = r * size, min((r + 1) * size, system.get_file_info(name).size)
+    with system.open_input_file(name) as f:
         f.seek(max(0, a - halo))
         data = f.read(z - max(0, a - halo) + halo)
     first = a - max(0, a - halo)

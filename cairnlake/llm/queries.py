@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cairnlake.llm import bpe, copies, mixing, pairs, personal, pieces, scans, spans
@@ -65,6 +65,7 @@ def p5_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By the stitched boundary table that the pieces get their offsets from."""
     s = pieces.sizes(table(spark, sf_dir, "doc_pages"), "page_id", "page_content")
     s = s.filter(F.col("n_chars") > pieces.LIMIT)
     kinds = F.array_compact(F.array(F.lit("long"), F.when(F.col("longest_run") > pieces.LIMIT, F.lit("unbroken"))))
@@ -78,6 +79,27 @@ def p7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.join(pages.select("page_id", "section_title"), "page_id").select("page_id", "section_title", "start", "piece")
 
 
+def p7_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages of each tenant as text files, cut by byte ranges: whether all are within the limit, their overlaps, and the characters they cover."""
+    from cairnlake.llm.staging import staged_texts
+
+    path = staged_texts(table(spark, sf_dir, "doc_pages").filter("page_content IS NOT NULL").select(F.coalesce("tenant_id", F.lit("none")).alias("tenant_id"), "page_content"), "page_files", "tenant_id")
+    p = pieces.split_files(spark, path, range_bytes=1 << 15)
+    w = Window.partitionBy("path").orderBy("start")
+    p = p.select("path", "start", F.length("piece").alias("n"), (F.lag(F.col("start") + F.length("piece")).over(w) - F.col("start")).alias("shared"))
+    return p.groupBy(F.regexp_extract("path", "tenant_id=([^/]*)/", 1).alias("tenant_id")).agg(
+        (F.max("n") <= pieces.LIMIT).alias("within"), F.min(F.coalesce("shared", F.lit(pieces.OVERLAP))).alias("least_overlap"), F.max(F.coalesce("shared", F.lit(pieces.OVERLAP))).alias("most_overlap"), (F.sum("n") - F.sum(F.coalesce("shared", F.lit(0)))).alias("chars"),
+    )
+
+
+def p7_rebuilt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page put together again from its pieces, as a digest, and whether each piece is within the limit."""
+    cut = pieces.split_column(table(spark, sf_dir, "doc_pages"), "page_id", "page_content").filter("piece <> ''")
+    again = cut.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("start", "piece"))).alias("p"), F.max(F.length("piece")).alias("longest"))
+    text = F.aggregate("p", F.lit(""), lambda t, x: F.concat(t, F.substring(x["piece"], F.length(t) - x["start"].cast("int") + 1, F.lit(pieces.LIMIT))))
+    return again.select("page_id", (F.col("longest") <= pieces.LIMIT).alias("within"), F.sha2(text, 256).alias("digest"))
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_table(table(spark, sf_dir, "documents"))
 
@@ -110,11 +132,14 @@ _CANON = "lower(regexp_replace(regexp_replace(regexp_replace(coalesce({c}, ''),
 _P4 = f"SELECT med_id, min(med_id) OVER w AS keep_id, count(*) OVER w AS copies FROM medications WINDOW w AS (PARTITION BY coalesce(document_id, '#' || med_id), list_sort([{', '.join(_CANON.format(c=c) for c in copies.FIELDS)}]))"
 
 QUERIES = {
-    "p2_found": p2_found, "p2_masked": p2_masked, "p3_found": p3_found, "p3_all": p3_all, "p4_found": p4_found, "p4_records": p4_records, "p5_found": p5_found, "p5_repaired": p5_repaired, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_ids": p8_ids,
+    "p2_found": p2_found, "p2_masked": p2_masked, "p3_found": p3_found, "p3_all": p3_all, "p4_found": p4_found, "p4_records": p4_records, "p5_found": p5_found, "p5_repaired": p5_repaired, "p7_found": p7_found, "p7_pieces": p7_pieces, "p7_files": p7_files, "p7_rebuilt": p7_rebuilt, "p8_ids": p8_ids,
     "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_spans": p10_spans, "p10_kept": p10_kept,
 }
 ORACLES = {
     "p4_found": f"SELECT keep_id, med_id AS copy_id FROM ({_P4}) WHERE med_id <> keep_id",
     "p4_records": f"SELECT keep_id, any_value(copies) AS copies FROM ({_P4}) GROUP BY keep_id",
     "p7_found": "SELECT page_id, 'long' AS kind FROM doc_pages WHERE length(page_content) > 1000 UNION ALL SELECT page_id, 'unbroken' AS kind FROM doc_pages WHERE len(list_filter(string_split_regex(page_content, '[\\s\\p{Z}\\x1c-\\x1f\\x85]'), lambda x: length(x) > 1000)) > 0",
+    # pieces overlap by 200 and are within 1,000; together they are the whole files (a line feed behind each page)
+    "p7_files": "SELECT coalesce(tenant_id, 'none') AS tenant_id, true AS within, 200 AS least_overlap, 200 AS most_overlap, sum(length(page_content) + 1) AS chars FROM doc_pages WHERE page_content IS NOT NULL GROUP BY 1",
+    "p7_rebuilt": "SELECT page_id, sha256(page_content) AS digest, true AS within FROM doc_pages WHERE page_content <> ''",
 }

@@ -14,7 +14,8 @@ table of misreadings.  Running lines are found by counts of line digests
 within a document; pages are joined by their own id, so that a document with
 very many pages makes no hot key.
 
-Defined results: null and empty pages have no lines to report; lines are split
+Defined results: a run of more than ``LONGEST_WORD`` characters without white
+space is no word; null and empty pages have no lines to report; lines are split
 at line feeds; header and page-number lines have no other kind; words at the
 break are judged as one word, the misread character names its line.
 """
@@ -34,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairnlake.llm.staging import staged
+from cairnlake.session import spread
 
 #: Most frequent sound words that go to every task.
 COMMON = 50_000
@@ -54,6 +56,10 @@ _BREAK = re.compile(rf"([^\W_][\w'’@!$|-]*?)[{HYPHENS}]\s*$")
 _NUMBER = re.compile(r"[0-9]+(?:[.,:/-][0-9]+)*%?")
 
 
+#: A longer run without white space is a code, an address or a drawing, and no word.
+LONGEST_WORD = 64
+
+
 def tokens(line: str) -> list[str]:
     return [w for w in (t.lstrip(_STRIP_LEFT).rstrip(_STRIP_RIGHT) for t in line.split()) if w]
 
@@ -256,9 +262,13 @@ def broken(lines: list[str], labels: list[str]) -> dict[int, tuple[str, str, str
         if not m:
             continue
         before = re.search(r"\S*$", lines[i][: m.end(1)])[0].lstrip(_STRIP_LEFT)
+        if len(before) > LONGEST_WORD:
+            continue
         if k + 1 < len(body):
             rest = tokens(lines[body[k + 1]])
             second = rest[0] if rest else ""
+            if len(second) > LONGEST_WORD:
+                continue
             out[i] = (before, before + second, before + "-" + second, body[k + 1])
         else:
             out[i] = (before, "", before + "-", -1)
@@ -278,7 +288,8 @@ def page_words(lines: list[str], labels: list[str]) -> Iterator[tuple[int, str]]
         if i in breaks and ws:
             ws = ws[:-1]
         for w in ws:
-            yield i, w
+            if len(w) <= LONGEST_WORD:
+                yield i, w
 
 
 def corrections(word: str) -> set[str]:
@@ -351,7 +362,7 @@ def _label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def labelled_pages(pages: DataFrame) -> DataFrame:
     """page_id, page_content and one digit a line, the label's place in ``LABELS``."""
     p = pages.select(F.col("page_id").cast("long"), "document_id", "page_number", "page_content").filter("length(page_content) > 0")
-    d = p.select("page_id", "page_content").join(running_lines(p), "page_id", "left")
+    d = spread(p.select("page_id", "page_content"), "page_id").join(running_lines(p), "page_id", "left")
     return d.mapInArrow(_label, "page_id long, page_content string, labels string")
 
 

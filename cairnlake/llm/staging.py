@@ -26,6 +26,9 @@ def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
 
 
 def _folder(spark: SparkSession) -> str:
+    if not getattr(spark.sparkContext, "_cairnlake_staged", False):
+        spark.sparkContext._cairnlake_staged = True
+        atexit.register(clear, spark)
     return f"{ensure_checkpoint_dir(spark)}/staged/{spark.sparkContext.applicationId}"
 
 
@@ -34,11 +37,7 @@ def staged(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     stages neither recompute it nor depend on an executor's disk.  ``by``: a
     column by whose values the files are kept apart."""
     spark = df.sparkSession
-    folder = _folder(spark)
-    if not getattr(spark.sparkContext, "_cairnlake_staged", False):
-        spark.sparkContext._cairnlake_staged = True
-        atexit.register(clear, spark)
-    path = f"{folder}/{name}-{uuid.uuid4().hex}"
+    path = f"{_folder(spark)}/{name}-{uuid.uuid4().hex}"
     w = df.write.option("compression", "zstd")
     with shuffles_dropped(spark):
         (w.partitionBy(by) if by else w).parquet(path)
@@ -47,6 +46,13 @@ def staged(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     return out
 
 
+def staged_texts(df: DataFrame, name: str, by: str) -> str:
+    """The folder of text files with the one other column of ``df``, a line feed behind each value."""
+    path = f"{_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.partitionBy(by).text(path)
+    return path
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
