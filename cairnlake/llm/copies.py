@@ -8,10 +8,11 @@ a byte prefix that are too large are split by the first byte in which their
 keys differ until each fits; then each bucket is counted in a trie of its own
 with counters at the terminals.
 
-Scale: a round reads the partial counts once and brings back only counts of
-open buckets; their number is bounded by ``max_buckets``, as a bucket is open
-only above rows / max_buckets.  A record with very many copies arrives as one
-partial a batch; a bucket of a single key ends the recursion.  The shuffle is
+Scale: ``bucket_rows`` is hard, whatever the size of the table: buckets are
+columns of staged tables and their sizes distributed counts, so no tree grows
+on the driver or in a task; a round reads only what is still open.  A record
+with very many copies arrives as one partial a batch; a bucket of a single key
+ends the recursion.  The shuffle is
 by bucket, the copies are named by a join with one row a record on one side.
 
 Defined results: null and nothing-but-marks are equal (also to a missing
@@ -22,13 +23,14 @@ to another document, its rows are never merged; no rows give no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairnlake.llm.staging import staged
+from cairnlake.llm.staging import discard, staged
+from cairnlake.session import bounded, spread
 
 FIELDS = ("name", "dose", "frequency", "route")
 _STRIDE = 8
@@ -76,20 +78,6 @@ class Trie:
                     stack.append((prefix + part, child))
 
 
-@dataclass
-class Split:
-    """A bucket's keys part at byte ``at``; children by that byte (-1: the key ends)."""
-
-    at: int = 0
-    children: dict[int, "Split | int"] = field(default_factory=dict)
-
-
-def bucket_of(key: bytes, tree: "Split | int") -> int:
-    while not isinstance(tree, int):
-        tree = tree.children[key[tree.at] if tree.at < len(key) else -1]
-    return tree
-
-
 _KEYS = pa.schema([("key", pa.binary()), ("n", pa.int64()), ("smallest", pa.int64())])
 
 
@@ -106,67 +94,33 @@ def _table(trie: Trie) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(_KEYS.types)], schema=_KEYS)
 
 
-def _count_round(tree: "Split | int", open_: set[int]):
-    """Per open bucket: rows, smallest and largest key of the batch."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            seen: dict[int, list] = {}
-            for key in b.column(0).to_pylist():
-                k = bucket_of(key, tree)
-                if k in open_:
-                    s = seen.setdefault(k, [0, key, key])
-                    s[0] += 1
-                    s[1], s[2] = min(s[1], key), max(s[2], key)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(seen), pa.int32()), *(pa.array([s[i] for s in seen.values()], t) for i, t in enumerate((pa.int64(), pa.binary(), pa.binary())))], names=["bucket", "n", "low", "high"]
-            )
-
-    return run
-
-
-def _next_bytes(tree: "Split | int", at: dict[int, int]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            seen: dict[tuple[int, int], int] = {}
-            for key in b.column(0).to_pylist():
-                k = bucket_of(key, tree)
-                if k in at:
-                    c = (k, key[at[k]] if at[k] < len(key) else -1)
-                    seen[c] = seen.get(c, 0) + 1
-            yield pa.RecordBatch.from_arrays([pa.array([c[0] for c in seen], pa.int32()), pa.array([c[1] for c in seen], pa.int32()), pa.array(list(seen.values()), pa.int64())], names=["bucket", "byte", "n"])
-
-    return run
-
-
-def _replace(tree: "Split | int", new: dict[int, Split]) -> "Split | int":
-    if isinstance(tree, int):
-        return new.get(tree, tree)
-    for byte, child in tree.children.items():
-        tree.children[byte] = _replace(child, new)
-    return tree
-
-
-def radix_buckets(partials: DataFrame, bucket_rows: int, max_buckets: int) -> tuple["Split | int", int]:
-    """The tree of splits and the number of buckets."""
-    total = partials.count()
-    fits = max(bucket_rows, total // max_buckets)
-    tree: Split | int = 0
-    count, open_ = 1, {0} if total > fits else set()
-    while open_:
-        rows = partials.mapInArrow(_count_round(tree, open_), "bucket int, n long, low binary, high binary").groupBy("bucket").agg(F.min("low").alias("low"), F.max("high").alias("high")).collect()
-        at = {r.bucket: _common(bytes(r.low), bytes(r.high)) for r in rows if r.low != r.high}
-        if not at:
-            break
-        new: dict[int, Split] = {}
-        open_ = set()
-        for r in partials.mapInArrow(_next_bytes(tree, at), "bucket int, byte int, n long").groupBy("bucket", "byte").agg(F.sum("n").alias("n")).collect():
-            new.setdefault(r.bucket, Split(at[r.bucket])).children[r.byte] = count
-            if r.n > fits:
-                open_.add(count)
-            count += 1
-        tree = _replace(tree, new)
-    return tree, count
+def _shared_prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per bucket the number of bytes in which its smallest and largest key, and so all, agree."""
+    for b in batches:
+        at = [_common(x, y) for x, y in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(at, pa.int32())], names=["bucket", "at"])
+
+
+def radix_buckets(partials: DataFrame, bucket_rows: int) -> list[DataFrame]:
+    """Parts of ``partials`` with ``bucket``, a prefix of the key: a bucket has at most
+    ``bucket_rows`` rows or one key.
+
+    A round counts the buckets still open; those too large are split at the
+    first byte in which their keys differ, the others are done and not read
+    again.  Nothing of it passes through the driver.
+    """
+    parts, open_ = [], partials.withColumn("bucket", F.lit(b""))
+    while True:
+        sizes = open_.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("low"), F.max("key").alias("high"))
+        large = sizes.filter((F.col("n") > bucket_rows) & (F.col("low") != F.col("high"))).select("bucket", "low", "high")
+        large = staged(large.mapInArrow(_shared_prefix, "bucket binary, at int"), "large")
+        if large.isEmpty():
+            return [*parts, open_]
+        marked = open_.join(bounded(large), "bucket", "left")
+        parts.append(staged(marked.filter("at IS NULL").select("key", "n", "smallest", "bucket"), "closed"))
+        wider = marked.filter("at IS NOT NULL").select("key", "n", "smallest", F.expr("substring(key, 1, at + 1)").alias("bucket"))
+        before, open_ = open_, staged(wider, "open")
+        discard(large, *([before] if len(parts) > 1 else []))
 
 
 def _common(a: bytes, b: bytes) -> int:
@@ -188,23 +142,16 @@ def keyed(df: DataFrame, id_col: str, group_col: str, fields: tuple[str, ...]) -
     return d.select("id", canonical(group, [F.col(f"_f{i}") for i in range(len(fields))]).alias("key"))
 
 
-def records(df: DataFrame, id_col: str = "med_id", group_col: str = "document_id", fields: tuple[str, ...] = FIELDS, bucket_rows: int = 20_000, max_buckets: int = 4096) -> DataFrame:
+def records(df: DataFrame, id_col: str = "med_id", group_col: str = "document_id", fields: tuple[str, ...] = FIELDS, bucket_rows: int = 20_000) -> DataFrame:
     """(key, copies, keep_id): one row a record, with the number of its rows and the smallest id."""
-    return _records(keyed(df, id_col, group_col, fields), bucket_rows, max_buckets)
-
-
-def _records(rows: DataFrame, bucket_rows: int, max_buckets: int) -> DataFrame:
-    partials = staged(rows.select("key", "id").mapInArrow(_partials, "key binary, n long, smallest long"), "partials")
-    tree, count = radix_buckets(partials, bucket_rows, max_buckets)
+    return _records(keyed(df, id_col, group_col, fields), bucket_rows)
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            where = pa.array([bucket_of(k, tree) for k in b.column(0).to_pylist()], pa.int32())
-            yield pa.RecordBatch.from_arrays([*b.columns, where], names=[*b.schema.names, "bucket"])
 
-    placed = partials.mapInArrow(place, "key binary, n long, smallest long, bucket int")
-    counted = placed.groupBy("bucket").applyInArrow(_counted, "key binary, copies long, keep_id long")
-    return counted
+def _records(rows: DataFrame, bucket_rows: int) -> DataFrame:
+    partials = staged(spread(rows.select("key", "id")).mapInArrow(_partials, "key binary, n long, smallest long"), "partials")
+    parts = radix_buckets(partials, bucket_rows)
+    placed = reduce(DataFrame.unionByName, parts)
+    return placed.groupBy("bucket").applyInArrow(_counted, "key binary, copies long, keep_id long")
 
 
 def _counted(t: pa.Table) -> pa.Table:
@@ -212,8 +159,8 @@ def _counted(t: pa.Table) -> pa.Table:
     return out.rename_columns(["key", "copies", "keep_id"])
 
 
-def copies(df: DataFrame, id_col: str = "med_id", group_col: str = "document_id", fields: tuple[str, ...] = FIELDS, bucket_rows: int = 20_000, max_buckets: int = 4096) -> DataFrame:
+def copies(df: DataFrame, id_col: str = "med_id", group_col: str = "document_id", fields: tuple[str, ...] = FIELDS, bucket_rows: int = 20_000) -> DataFrame:
     """(keep_id, copy_id): every other row of a record beside the one kept."""
     rows = keyed(df, id_col, group_col, fields)
-    many = _records(rows, bucket_rows, max_buckets).filter("copies > 1").select("key", "keep_id")
+    many = staged(_records(rows, bucket_rows).filter("copies > 1").select("key", "keep_id"), "many")
     return rows.join(many, "key").filter("id <> keep_id").select("keep_id", F.col("id").alias("copy_id"))

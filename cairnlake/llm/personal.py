@@ -33,10 +33,12 @@ from cairnlake.session import spread
 
 KINDS = ("name", "email", "phone", "id_no", "address")
 TAGS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
-WINDOW, OVERLAP, BATCH = 192, 64, 192
+WINDOW, OVERLAP, BATCH = 192, 64, 512
 _CHARS = " abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789.,;:!?'’\"()[]{}<>@#$%&*+-–—/\\|_=~\n\t\xa0"
 _INDEX = {c: i + 4 for i, c in enumerate(_CHARS)}
 SYMBOLS = len(_CHARS) + 4
+#: Least lead of "no item" over every other tag beyond which a character is not part of one.
+SURE = 7.0
 
 # Titles that stand before a name and are not part of it.
 TITLES = ("dr", "mr", "mrs", "ms", "miss", "prof", "professor", "doctor", "sir", "madam", "herr", "frau", "señor", "señora", "sr", "sra", "mme", "nurse", "patient", "patientin", "paciente")
@@ -83,10 +85,46 @@ def scores(p: dict[str, np.ndarray], x: np.ndarray) -> np.ndarray:
     return np.concatenate([ahead, back], 2) @ p["out"] + p["bias"]
 
 
+def prepared(p: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Weights for reading: the input side as one row a symbol, and gates halved, so
+    that one tanh serves all of them."""
+    out = dict(p)
+    for d in "01":
+        half = np.ones(p[f"b{d}"].shape, np.float32)
+        half[: 3 * len(half) // 4] = 0.5
+        out[f"in{d}"] = ((p["embed"] @ p[f"w{d}"] + p[f"b{d}"]) * half).astype(np.float32)
+        out[f"rec{d}"] = (p[f"u{d}"] * half).astype(np.float32)
+    # a stretch that is surely no item may be left out of the path only if no chain of moves can win it back
+    gain = np.abs(p["move"]).max() * 2 + np.abs(p["start"]).max()
+    out["sure"] = np.float32(max(SURE, 2 * gain))
+    return out
+
+
+def read(table: np.ndarray, u: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """As ``lstm`` over codes, by prepared weights."""
+    t, n = x.shape
+    hidden = u.shape[0]
+    h, c = np.zeros((n, hidden), np.float32), np.zeros((n, hidden), np.float32)
+    z, out = np.empty((n, 4 * hidden), np.float32), np.empty((t, n, hidden), np.float32)
+    for k in range(t):
+        np.dot(h, u, out=z)
+        z += table[x[k]]
+        np.tanh(z, out=z)
+        gates = z[:, : 3 * hidden]
+        gates += 1
+        gates *= 0.5
+        c *= z[:, hidden : 2 * hidden]
+        c += z[:, :hidden] * z[:, 3 * hidden :]
+        h = out[k]
+        np.tanh(c, out=h)
+        h *= z[:, 2 * hidden : 3 * hidden]
+    return out
+
+
 @lru_cache(maxsize=1)
 def parameters() -> dict[str, np.ndarray]:
     m = np.load(io.BytesIO(pkgutil.get_data("cairnlake.llm", "models/personal.npz")))
-    return {k: m[k].astype(np.float32) for k in m.files}
+    return prepared({k: m[k].astype(np.float32) for k in m.files})
 
 
 def windows(n: int) -> list[tuple[int, int]]:
@@ -96,6 +134,7 @@ def windows(n: int) -> list[tuple[int, int]]:
 
 def emissions(texts: list[str], p: dict[str, np.ndarray]) -> list[np.ndarray]:
     """Tag scores of every character of every text."""
+    p = p if "in0" in p else prepared(p)
     todo = []
     out = [np.zeros((len(t), len(TAGS)), np.float32) for t in texts]
     coded = [codes(t) for t in texts]
@@ -112,8 +151,8 @@ def emissions(texts: list[str], p: dict[str, np.ndarray]) -> list[np.ndarray]:
         for j, (n, k, a, z) in enumerate(part):
             x[:n, j] = coded[k][a:z]
             y[longest - n :, j] = coded[k][a:z]
-        ahead = lstm(p["embed"][x], p["w0"], p["u0"], p["b0"])
-        back = lstm(p["embed"][y][::-1], p["w1"], p["u1"], p["b1"])[::-1]
+        ahead = read(p["in0"], p["rec0"], x)
+        back = read(p["in1"], p["rec1"], y[::-1])[::-1]
         half = ahead.shape[2]
         one, two = ahead @ p["out"][:half], back @ p["out"][half:] + p["bias"]
         for j, (n, k, a, z) in enumerate(part):
@@ -125,8 +164,6 @@ def emissions(texts: list[str], p: dict[str, np.ndarray]) -> list[np.ndarray]:
     return out
 
 
-#: Lead of "no item" over every other tag beyond which a character is not part of one.
-SURE = 7.0
 
 
 def viterbi(e: np.ndarray, move: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -150,7 +187,7 @@ def decode(e: np.ndarray, p: dict[str, np.ndarray]) -> list[tuple[int, int, str]
     n = len(e)
     if not n:
         return []
-    open_ = np.flatnonzero(e[:, 0] - e[:, 1:].max(1) < SURE)
+    open_ = np.flatnonzero(e[:, 0] - e[:, 1:].max(1) < p.get("sure", SURE))
     if not len(open_):
         return []
     gaps = np.flatnonzero(np.diff(open_) > 6)
@@ -176,7 +213,6 @@ def decode(e: np.ndarray, p: dict[str, np.ndarray]) -> list[tuple[int, int, str]
 _MAIL = re.compile(r"[\w][\w.+%-]*(?:\s?@\s?|\s?\(at\)\s?|\s?\[at\]\s?)[\w-]+(?:\.[\w-]+)+", re.I)
 _PHONE = re.compile(r"(?:\+|\()?\d[\d ()./–-]{5,}\d")
 _ID = re.compile(r"[A-Z]{2,4}-?\d[\dA-Z-]*\d|\d[\d -]{4,}\d", re.I)
-_THING = re.compile(r"\b(?:accession|lot|ndc|s/n|serial|order|batch|device|codes?|invoice|ref)\W*(?:no\b\W*)?$", re.I)  # numbers of things
 _WORD = re.compile(r"[^\W\d_]")
 _TITLE = re.compile(rf"(?:{'|'.join(TITLES)})\.?\s+", re.I)
 
@@ -184,7 +220,7 @@ _TITLE = re.compile(rf"(?:{'|'.join(TITLES)})\.?\s+", re.I)
 def _fit(pattern: re.Pattern, text: str, a: int, z: int) -> tuple[int, int] | None:
     """The match of ``pattern`` that overlaps [a, z) most."""
     best, most = None, 0
-    for m in pattern.finditer(text, max(0, a - 60), min(len(text), z + 60)):
+    for m in pattern.finditer(text, max(0, a - 320), min(len(text), z + 320)):
         over = min(z, m.end()) - max(a, m.start())
         if over > most:
             best, most = m.span(), over
@@ -209,7 +245,7 @@ def checked(text: str, spans: list[tuple[int, int, str]]) -> list[tuple[int, int
                     a += 1
                 if a and text[a - 1] == "+":
                     a -= 1
-            if kind == "id_no" and (sum(c.isdigit() for c in text[a:z]) < 6 or _THING.search(text, max(0, a - 24), a)):
+            if kind == "id_no" and sum(c.isdigit() for c in text[a:z]) < 6:
                 continue
         else:
             while a < z and not text[a].isalnum():

@@ -123,6 +123,11 @@ def p10_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.shared_spans(table(spark, sf_dir, "documents")).select("doc_id", "n_chars", "copies", "spans", "repeats")
 
 
+def p10_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stretches of whole sentences that an earlier document has too."""
+    return spans.repeated_units(table(spark, sf_dir, "documents"))
+
+
 def p10_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without its repeats."""
     return spans.kept(table(spark, sf_dir, "documents"))
@@ -133,12 +138,16 @@ _P4 = f"SELECT med_id, min(med_id) OVER w AS keep_id, count(*) OVER w AS copies
 
 QUERIES = {
     "p2_found": p2_found, "p2_masked": p2_masked, "p3_found": p3_found, "p3_all": p3_all, "p4_found": p4_found, "p4_records": p4_records, "p5_found": p5_found, "p5_repaired": p5_repaired, "p7_found": p7_found, "p7_pieces": p7_pieces, "p7_files": p7_files, "p7_rebuilt": p7_rebuilt, "p8_ids": p8_ids,
-    "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_spans": p10_spans, "p10_kept": p10_kept,
+    "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_spans": p10_spans, "p10_kept": p10_kept, "p10_units": p10_units,
 }
 ORACLES = {
     "p4_found": f"SELECT keep_id, med_id AS copy_id FROM ({_P4}) WHERE med_id <> keep_id",
     "p4_records": f"SELECT keep_id, any_value(copies) AS copies FROM ({_P4}) GROUP BY keep_id",
     "p7_found": "SELECT page_id, 'long' AS kind FROM doc_pages WHERE length(page_content) > 1000 UNION ALL SELECT page_id, 'unbroken' AS kind FROM doc_pages WHERE len(list_filter(string_split_regex(page_content, '[\\s\\p{Z}\\x1c-\\x1f\\x85]'), lambda x: length(x) > 1000)) > 0",
+    "p10_units": """WITH p AS (SELECT doc_id, regexp_extract_all(text, '[^.!?\\n]+[.!?\\n]*|[.!?\\n]+') AS p FROM documents WHERE length(text) >= 200),
+      u AS (SELECT doc_id, unnest(p) AS s, generate_subscripts(p, 1) AS i FROM p), o AS (SELECT doc_id, i, sum(length(s)) OVER (PARTITION BY doc_id ORDER BY i) AS z, length(s) AS n, trim(regexp_replace(lower(s), '[\\s\\p{Z}\\x1c-\\x1f\\x85]+', ' ', 'g')) AS k FROM u),
+      f AS (SELECT k, min(doc_id) AS first FROM o GROUP BY k HAVING min(doc_id) <> max(doc_id)), l AS (SELECT doc_id, z - n AS a, z, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS run FROM o JOIN f USING (k) WHERE doc_id <> first)
+      SELECT doc_id, CAST(min(a) AS INT) AS start_pos, CAST(max(z) AS INT) AS end_pos FROM l GROUP BY doc_id, run HAVING max(z) - min(a) >= 200""",
     # pieces overlap by 200 and are within 1,000; together they are the whole files (a line feed behind each page)
     "p7_files": "SELECT coalesce(tenant_id, 'none') AS tenant_id, true AS within, 200 AS least_overlap, 200 AS most_overlap, sum(length(page_content) + 1) AS chars FROM doc_pages WHERE page_content IS NOT NULL GROUP BY 1",
     "p7_rebuilt": "SELECT page_id, sha256(page_content) AS digest, true AS within FROM doc_pages WHERE page_content <> ''",

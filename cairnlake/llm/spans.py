@@ -1,9 +1,11 @@
 """Long exact spans shared between records (problem 10).
 
-Line hashing: texts are cut into lines, the lines' digests are grouped
-globally, and the earliest ranked record keeps a span that others repeat;
-offsets are those of the original text.  Lines by line feed or sentence do
-not find a stretch that begins and ends inside sentences, so a line here is a
+``repeated_units`` is line hashing as such: sentences and lines are normalised,
+their digests grouped globally, the earliest ranked occurrence is kept and the
+rest removed by original offsets.  It can't find a stretch that begins and ends
+inside sentences, and normalised units are not verbatim, so ``shared_spans``
+goes on by another method (content-defined fingerprints, then exact windows):
+its line is a
 unit of fixed length that starts at a content-defined break: the break is the
 smallest hash among ``min_len - unit + 1`` neighbouring starts, so every
 stretch of ``min_len`` characters that stands in two texts holds at least one
@@ -26,14 +28,17 @@ alone don't count.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairnlake.llm.staging import discard, staged
+from cairnlake.session import spread
 
 MIN_LEN, UNIT = 200, 120
 #: Characters hashed at a time.
@@ -211,14 +216,14 @@ def shared_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     places = staged(places, "places")
     discard(lines)
     near = places.join(docs.select(F.col("_id").alias("rep"), "_text"), "rep")
-    windows = staged(near.select("rep", "places", "_text").mapInArrow(_windows(min_len, unit), "w long, rep long, start int"), "windows")
-    discard()
+    windows = near.select("rep", "places", "_text").mapInArrow(_windows(min_len, unit), "w long, rep long, start int")
+    windows = staged(windows.withColumn("share", F.pmod("w", F.lit(passes)).cast("int")), "windows", by="share")
     parts = []
     for i in range(passes):  # by digest, so that the shuffles of one pass are gone before the next
-        some = windows.filter(F.pmod("w", F.lit(passes)) == i)
+        some = windows.filter(F.col("share") == i)
         both = some.groupBy("w").agg(F.min("rep").alias("first"), F.max("rep").alias("last")).filter("first <> last").select("w", "first")
         parts.append(staged(some.join(both, "w").select("rep", "start", (F.col("rep") != F.col("first")).alias("later")), "hits"))
-        discard()
+    discard(windows, places)
     hits = parts[0]
     for p in parts[1:]:
         hits = hits.unionByName(p)
@@ -237,6 +242,49 @@ def shared_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.withColumn("shared_chars", F.aggregate("spans", F.lit(0), lambda n, s: n + s[1] - s[0]))
 
 
+_SENTENCE = re.compile(r"[^.!?\n]+[.!?\n]*|[.!?\n]+")
+
+
+def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        at, cols, held = [], [[], [], [], []], 0
+        for k in range(b.num_rows):
+            for i, m in enumerate(_SENTENCE.finditer(b.column(1)[k].as_py())):
+                at.append(k)
+                digest = blake2b(" ".join(m[0].lower().split()).encode("utf-8", "surrogatepass"), digest_size=16).digest()
+                for c, v in zip(cols, (i, m.start(), m.end(), digest)):
+                    c.append(v)
+                held += 1
+            if held > 1 << 16:
+                yield _unit_batch(b, at, cols)
+                at, cols, held = [], [[], [], [], []], 0
+        yield _unit_batch(b, at, cols)
+
+
+def _unit_batch(b: pa.RecordBatch, at: list[int], cols: list[list]) -> pa.RecordBatch:
+    kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary())
+    return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int32())), *(pa.array(c, k) for c, k in zip(cols, kinds))], names=["id", "i", "a", "z", "digest"])
+
+
+def repeated_units(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_len: int = MIN_LEN) -> DataFrame:
+    """(id, start_pos, end_pos): stretches of at least ``min_len`` characters made of whole
+    sentences or lines that an earlier record (by id) has too.
+
+    Units are normalised (case and white space) and their 128-bit digests
+    grouped globally; the earliest ranked occurrence is kept, the others make
+    up the stretches, with offsets of the original text.  A unit that only its
+    own record repeats is kept.
+    """
+    texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("_t")).filter(F.length("_t") >= min_len)
+    units = staged(spread(texts).mapInArrow(_units, "id long, i int, a int, z int, digest binary"), "units")
+    first = units.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first <> last").select("digest", "first")
+    later = units.join(first, "digest").filter("id <> first").select("id", "i", "a", "z")
+    w = Window.partitionBy("id").orderBy("i")
+    runs = later.withColumn("run", F.col("i") - F.row_number().over(w))
+    runs = runs.groupBy("id", "run").agg(F.min("a").alias("start_pos"), F.max("z").alias("end_pos")).filter(F.col("end_pos") - F.col("start_pos") >= min_len)
+    return runs.select(F.col("id").cast(df.schema[id_col].dataType).alias(id_col), "start_pos", "end_pos")
+
+
 def kept(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """(id, start_pos, end_pos, piece) of what is left of every record without its ``repeats``, by original offsets."""
     cuts = shared_spans(df, id_col, text_col, **options).select(id_col, "repeats")
