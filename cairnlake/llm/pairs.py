@@ -84,8 +84,24 @@ def language_scores(text: str) -> dict[str, float]:
     return {k: sum(w in v for w in words) / n for k, v in _WORDS.items()}
 
 
-def pair_features(question: str | None, answer: str) -> list[tuple[str, float]]:
-    """Named features of the pair; n-grams of the answer are added by ``vector``."""
+def word_codes(words: set[str]) -> np.ndarray:
+    return np.unique(np.array([zlib.crc32(w.encode()) for w in words], np.uint32))
+
+
+def _ending(word: str, known: frozenset[int]) -> str:
+    """What kind of word an answer ends with: one cut short is seldom a known one."""
+    if not word:
+        return "none"
+    if word[-1].isdigit():
+        return "number"
+    if zlib.crc32(word.lower().encode()) in known:
+        return "known"
+    return "proper" if word[0].isupper() and len(word) > 4 else "strange"
+
+
+def pair_features(question: str | None, answer: str, known: frozenset[int] = frozenset()) -> list[tuple[str, float]]:
+    """Named features of the pair; n-grams of the answer are added by ``vector``.
+    ``known``: codes of the words of sound answers."""
     q = _ASKED.sub("", question or "", count=1)
     a = _NOTE.sub("", answer.rstrip()).strip()
     core = _CITE.sub("", a).strip()
@@ -103,10 +119,16 @@ def pair_features(question: str | None, answer: str) -> list[tuple[str, float]]:
     words = re.findall(r"[^\W_]+", core)
     tail = words[-1].lower() if words else ""
     f += [(f"tail={tail}", 1.0), (f"tail2={' '.join(words[-2:]).lower()}", 1.0), (f"tailend={tail[-3:]}", 0.5), (f"words={min(len(words), 12)}", 0.5)]
+    ending = _ending(words[-1] if words else "", known)
+    closed = last in ".!?。！？۔]"
+    f += [(f"ending={ending}&closed={closed}", 1.5), (f"ending={ending}&closed={closed}&words={min(len(words) // 2, 5)}", 1.0), (f"opens={words[0].lower() if words else ''}&closed={closed}&ending={ending}", 0.7)]
     f.append((f"cited={bool(_CITE.search(a))}&end={'cite' if stripped_cite else 'other'}", 1.0))
     lines = [x for x in a.split("\n") if x.strip()]
     if len(lines) > 1:
         f.append((f"lines={min(len(lines), 4)}&last_short={len(lines[-1]) < 0.5 * max(map(len, lines))}", 1.0))
+        style = [x.rstrip()[-1] in ".;!?]" for x in lines[1:]]
+        marked = sum(bool(re.match(r"\s*(?:[-*•–]|\d+[.)])\s", x)) for x in lines)
+        f += [(f"style={'even' if len(set(style)) == 1 else 'odd'}&closed={closed}&ending={ending}", 1.5), (f"marked={min(marked, 3)}&last={bool(re.match(r'[ ]*(?:[-*•–]|[0-9]+[.)])[ ]', lines[-1]))}&closed={closed}&ending={ending}", 1.0)]
         first_number = re.match(r"(\d+)\. ", lines[0]), re.match(r"(\d+)\. ", lines[-1])
         if first_number[0]:
             f.append((f"list={len(lines)}&with={' with ' in lines[-1]}", 1.0))
@@ -139,10 +161,10 @@ def pair_features(question: str | None, answer: str) -> list[tuple[str, float]]:
     return [x for x in f if x[1]]
 
 
-def vector(question: str | None, answer: str) -> tuple[np.ndarray, np.ndarray]:
+def vector(question: str | None, answer: str, known: frozenset[int] = frozenset()) -> tuple[np.ndarray, np.ndarray]:
     """Hashed indices and values of one pair."""
     acc: dict[int, float] = {}
-    for name, v in pair_features(question, answer):
+    for name, v in pair_features(question, answer, known):
         i = zlib.crc32(name.encode()) % BUCKETS
         acc[i] = acc.get(i, 0.0) + v
     # drug names, numbers and names carry no defect: masked
@@ -157,19 +179,19 @@ def vector(question: str | None, answer: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 @lru_cache(maxsize=1)
-def model() -> tuple[np.ndarray, np.ndarray]:
-    """(weights by defect and bucket, logit thresholds)."""
+def model() -> tuple[np.ndarray, np.ndarray, frozenset[int]]:
+    """(weights by defect and bucket, logit thresholds, codes of known words)."""
     m = np.load(io.BytesIO(pkgutil.get_data("cairnlake.llm", "models/pairs.npz")))
     w = np.zeros((len(DEFECTS), BUCKETS))
     w[:, m["at"]] = m["w"]
-    return w, m["thresholds"]
+    return w, m["thresholds"], frozenset(m["known"].tolist())
 
 
 def defect(question: str | None, answer: str | None) -> str | None:
     if is_empty(answer):
         return "empty"
-    w, thresholds = model()
-    at, v = vector(question, answer)
+    w, thresholds, known = model()
+    at, v = vector(question, answer, known)
     z = w[:, at] @ v - thresholds
     k = int(z.argmax())
     return DEFECTS[k] if z[k] > 0 else None
@@ -179,8 +201,8 @@ def every_defect(question: str | None, answer: str | None) -> list[str]:
     """All defects whose unit passes its threshold, the surest first; the first is that of ``defect``."""
     if is_empty(answer):
         return ["empty"]
-    w, thresholds = model()
-    at, v = vector(question, answer)
+    w, thresholds, known = model()
+    at, v = vector(question, answer, known)
     z = w[:, at] @ v - thresholds
     return [DEFECTS[k] for k in np.argsort(-z, kind="stable") if z[k] > 0]
 

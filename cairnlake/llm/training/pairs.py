@@ -11,37 +11,93 @@ from __future__ import annotations
 import random
 import re
 import sys
+from collections import Counter
 from pathlib import Path
 
 import numpy as np
 import pyarrow.parquet as pq
 
-from cairnlake.llm.pairs import BUCKETS, DEFECTS, bare, is_empty, language_scores, script, vector
+from cairnlake.llm.pairs import BUCKETS, DEFECTS, bare, is_empty, language_scores, script, vector, word_codes
 
 MAX_PAIRS = 20_000
-_REFUSALS = (
-    "I'm sorry, but I can't help with that.", "I cannot provide medical information about this patient.", "As an AI language model, I am unable to {v} clinical records.", "I must decline to answer this question.",
-    "My guidelines prevent me from commenting on {x}.", "I apologize, but I will not be able to assist with {x}.", "For safety reasons no answer can be given to this question.", "This request can't be completed.",
-    "That is outside of what I'm allowed to answer.", "Please ask a qualified professional; I do not give opinions about {x}.", "I won't discuss {x} because it may be harmful advice.", "Declined: policy.",
-    "Unfortunately I am not permitted to share details on {x}.", "I can't answer that.", "Sorry, I am not able to discuss {x}.", "I do not have permission to {v} this record.", "I'm unable to respond to this request.",
-    "It would not be appropriate for me to comment on {x}.", "No answer: this topic is restricted.", "Lo siento, no puedo ayudar con eso.", "Es tut mir leid, dabei kann ich nicht helfen.", "Je suis désolé, je ne peux pas répondre à cette question.",
-    "Request refused.", "I refuse to answer questions about {x}.", "As an assistant I can't {v} patient data.",
-)
-_SHORT = ("The value was 4.1 on 03/02 and the team described it as stable [S2].", "Not stated in this record.", "No record of {x} was found in the selected documents.", "None documented.", "Yes.", "No.", "Yes, {x} [S3]", "For {x}", "Worse since 04/15/26", "137/68, then 123/94", "10.8 [S9]", "With Lorzepam 80 mg", "Yes, the biopsy on 09/03/2025", "{x}, {x}", "06/21", "11/08/2025",
-          "Penicillin and Lorzepam", "The patient declined the scan and the doctor apologized for the delay [S2].", "I am sorry to say the first choice, Lorzepam, failed; {x} then settled by 12/02 [S2].", "The record does not say why {x} was refused.")
-_THINGS = ("asthma", "the hearing test", "bilirubin", "chronic kidney disease", "type 2 diabetes", "tendinitis", "glucose", "the biopsy", "dizziness", "low mood", "the chest radiograph", "sodium", "gout")
-_FOREIGN = (
-    "Пациент принимал препарат 80 мг до 10/05, затем лечение остановили из-за слабости [S8].", "患者在03/16/2025的结果为10.1，治疗团队认为病情稳定 [S8]。", "مریض کا نتیجہ 06/06 کو 7.2 تھا اور حالت مستحکم ہے [S2]۔",
-    "O valor em 06/04 foi 1.7, sem outras alterações segundo a equipe que acompanha o doente [S6].", "Il valore del 03/12/26 era 10.1 e il paziente è rimasto stabile durante il ricovero [S2].",
-    "Il paziente ha sospeso il farmaco perché aveva nausea dopo la dose del 02/02 [S1].", "O doente deixou de tomar o medicamento por causa de tonturas em 05/11 [S4].", "Wynik badania z 03/04 był stabilny według zespołu [S2].",
-    "De waarde op 03/04 was 2.1 en de patiënt bleef stabiel volgens het team [S1].", "Лекарство отменили после жалоб на головокружение 07/02 [S3].",
-)
+# Phrases below are put together by chance from parts; none is an answer of a table that is read later.
+_THINGS = ("the operation", "your dosage", "the tumour marker", "this person", "legal matters", "the prognosis", "insulin", "the X-ray", "potassium", "another patient", "the waiting list", "pain relief", "the lab sheet", "side effects", "her treatment", "the ultrasound", "blood thinners", "the allergy", "iron levels", "the discharge")
+
+
+def _refusal(r: random.Random) -> str:
+    x, c = r.choice(_THINGS), r.choice
+    why = c(("", "", "", " for reasons of privacy", " because of our rules", " as it could do harm", " under the terms of use", " since I am only a program", " without authorisation", " for ethical reasons", " due to safety concerns"))
+    verb = c(("help with", "assist with", "answer", "comment on", "discuss", "give advice on", "provide", "share", "respond to", "talk about", "disclose", "look up", "reveal", "interpret", "process", "give out", "say anything about", "address"))
+    what = c((x, x, "that", "this", "it", "this request", "the question", "such questions", f"information on {x}", f"details of {x}", "confidential data", "medical advice", "what you ask"))
+    can = c(("cannot", "can't", "can not", "am not able to", "am unable to", "won't", "will not", "may not", "must not", "am not allowed to", "am not permitted to", "am not authorised to", "do not wish to", "have to refuse to", "must decline to", "have been told not to", "don't feel able to", "would rather not", "am not in a position to", "was asked not to"))
+    sorry = c(("", "", "", "Sorry, ", "I'm sorry, ", "I am sorry, but ", "Apologies, ", "My apologies; ", "Unfortunately, ", "Regrettably, ", "I'm afraid ", "Thank you for asking, but ", "Please understand that "))
+    who = c(("", "", "", "As an assistant, ", "As an AI, ", "As a computer program, ", "Being a chatbot, "))
+    forms = (
+        lambda: f"{sorry}{who}I {can} {verb} {what}{why}.",
+        lambda: f"{sorry}I {can} {verb} {what}{why}. {c(('Please ask your doctor.', 'Kindly contact the clinic.', 'A nurse may know more.', 'Try another question.', 'Consult a professional.', 'Is there anything else?'))}",
+        lambda: f"{c(('This', 'That', 'The question', 'Your request', 'Such a request', 'This topic'))} {c(('cannot be answered', 'is outside my scope', 'is beyond what I may say', 'goes against my instructions', 'is not something I can do', 'has to be refused', 'was declined', 'is blocked', 'is off limits', 'may not be discussed', 'cannot be processed', 'violates our policy'))}{why}.",
+        lambda: f"No {c(('answer', 'comment', 'reply', 'information', 'statement', 'opinion', 'details'))} {c(('can be given', 'will be given', 'may be provided', 'is possible', 'is allowed here'))}{why}.",
+        lambda: f"{c(('My rules', 'My instructions', 'The guidelines', 'Our policies', 'Safety rules', 'The operator'))} {c(('forbid', 'do not allow', 'prohibit', 'prevent', 'keep me from'))} {c(('answering', 'sharing', 'discussing', 'commenting on', 'giving out', 'talking about'))} {what}.",
+        lambda: f"{c(('Refused', 'Denied', 'Rejected', 'Access denied', 'Blocked', 'Not permitted', 'Declining'))}{c(('.', ': not allowed.', '. Restricted content.', ' by rule.', f' - {x}.', ': confidential.'))}",
+        lambda: f"I {c(('refuse', 'decline', 'prefer not', 'am programmed not', 'would have'))} to {verb} {what}{why}{'' if r.random() < 0.8 else ' at all'}.",
+        lambda: c(("Lo lamento, pero no me es posible responder a eso.", "No estoy autorizado a hablar de este asunto.", "No puedo dar esa información.", "Leider darf ich dazu nichts sagen.", "Das kann ich nicht beantworten.", "Ich bin nicht befugt, darüber Auskunft zu geben.", "Désolé, je ne suis pas autorisé à en parler.", "Je ne peux pas donner ce renseignement.", "Mi dispiace, non posso rispondere.", "Não posso responder a essa pergunta.", "Lamento, não estou autorizado a falar disso.")),
+    )
+    forms += (
+        lambda: f"{(why.strip() or 'for reasons I may not give').capitalize()}{c((', ', ' '))}{c(('nothing', 'no word', 'no more', 'no advice'))} {c(('may be said', 'is given', 'is available', 'can be offered'))} {c(('on', 'about', 'regarding'))} {what}.",
+        lambda: f"{c(('It', 'That', 'This', 'What you ask'))} {c(('lies', 'goes', 'is', 'falls'))} {c(('beyond', 'outside', 'outside of'))} {c(('what I can say', 'the things I may tell', 'my remit', 'what this service offers', 'the limits set for me', 'anything I could answer'))}{why}.",
+    )
+    t = c(forms + forms[:2])()
+    return t[0].upper() + t[1:]
+
+
+def _short(r: random.Random) -> str:
+    """A sound answer that is short, or that speaks of refusing without refusing."""
+    c, x = r.choice, r.choice(_THINGS)
+    number = f"{r.randint(1, 400)}" + c(("", f".{r.randint(0, 9)}"))
+    date = f"{r.randint(1, 12):02}/{r.randint(1, 28):02}" + c(("", f"/{r.choice(('2024', '2025', '25'))}"))
+    cite = c(("", "", f" [S{r.randint(1, 9)}]", f" [{r.randint(1, 9)}]"))
+    drug = "".join(c(("Tra", "mol", "vi", "zep", "ca", "dor", "lin", "ex")) for _ in range(3)).capitalize()
+    word = c(("stable", "normal", "worse", "better", "unchanged", "resolved", "mild", "severe", "negative", "positive", "raised"))
+    forms = (
+        lambda: number + cite, lambda: f"{number} {c(('mg', 'mmol/L', '%', 'days', 'bpm', 'kg'))}{cite}", lambda: date + cite, lambda: c(("Yes", "No", "Twice", "Never", "Both", "Neither", "None", "Unknown", "Not recorded", "Normal", "Not mentioned", "Left side", "Once daily")) + c((".", "", cite)), lambda: f"{drug} {number} mg{cite}",
+        lambda: f"{c(('Yes', 'No'))}, {x}{cite}", lambda: f"{word.capitalize()} since {date}", lambda: f"{r.randint(90, 180)}/{r.randint(50, 99)}{cite}", lambda: f"{number} on {date}, {number} on {date}", lambda: f"{x[0].upper()}{x[1:]} and {drug}", lambda: f"By {date}", lambda: f"With {drug}", lambda: f"{x}, {drug}, {word}", lambda: f"Because of {x}", lambda: f"From {number} to {number}",
+        lambda: f"The chart does not say {c(('when', 'why', 'who', 'whether'))} {x} {c(('began', 'ended', 'was ordered', 'was seen'))}{cite}.", lambda: f"There is no entry about {x}{cite}.", lambda: f"Nothing about {x} is written down{cite}.", lambda: f"No, {x} is not mentioned{cite}.",
+        lambda: f"{c(('She', 'He', 'The family', 'The patient', 'The husband'))} {c(('refused', 'declined', 'did not want', 'was not able to attend', 'could not tolerate', 'was not allowed'))} {x} on {date}{cite}.", lambda: f"The {c(('surgeon', 'doctor', 'ward', 'insurer'))} {c(('apologised for', 'was sorry about', 'refused to pay for', 'would not approve'))} {x}{cite}.",
+        lambda: f"1. {x}\n2. {drug}\n3. {word} with {x}", lambda: f"These were noted:\n- {x}\n- {drug} {number} mg\n- {drug} was kept at {number} mg{cite}",
+    )
+    return c(forms)()
+
+
+_FOREIGN_PARTS = {
+    "ru": (("Больной", "Пациентка", "Врач", "Анализ"), ("получал лечение", "показал норму", "отметила улучшение", "был выписан домой"), ("в марте", "после операции", "без осложнений", "по результатам обследования")),
+    "zh": (("患者", "医生", "检查结果", "家属"), ("认为病情好转", "显示正常", "已经停药", "建议复查"), ("，没有不适。", "，需要观察。", "，时间是三月。", "。")),
+    "ur": (("مریض", "ڈاکٹر", "ٹیسٹ"), ("کی حالت بہتر ہے", "نے دوا روک دی", "کا نتیجہ ٹھیک تھا"), ("اور کوئی شکایت نہیں", "مارچ میں", "آپریشن کے بعد")),
+    "ar": (("المريض", "الطبيب", "الفحص"), ("أوقف الدواء", "أظهر تحسنا", "كان طبيعيا"), ("بعد العملية", "في الشهر الماضي", "دون مضاعفات")),
+    "pt": (("O paciente", "A médica", "O exame", "A família"), ("não tinha queixas", "mostrou uma melhora", "suspendeu o remédio", "foi para casa"), ("depois da cirurgia", "em março", "sem outras queixas", "por causa de febre")),
+    "it": (("Il malato", "La dottoressa", "L'esame", "Il medico"), ("ha mostrato un miglioramento", "non aveva dolori", "ha tolto il farmaco", "è tornato a casa"), ("dopo l'intervento", "a marzo", "senza altri disturbi", "per la febbre")),
+    "nl": (("De zieke", "De arts", "Het onderzoek"), ("had geen klachten", "is gestopt met het middel", "was weer normaal"), ("na de operatie", "in maart", "zonder problemen")),
+    "pl": (("Chory", "Lekarka", "Wynik"), ("nie miał dolegliwości", "odstawiła lek", "był w normie"), ("po zabiegu", "w marcu", "bez powikłań")),
+    "es": (("El enfermo", "La doctora", "La prueba", "El equipo"), ("no tenía molestias", "dejó la medicina", "salió normal", "mejoró mucho"), ("después de la operación", "en marzo", "sin otros problemas", "por la fiebre")),
+    "de": (("Der Kranke", "Die Ärztin", "Der Befund", "Das Team"), ("hatte keine Beschwerden", "setzte das Mittel ab", "war wieder normal", "blieb stabil"), ("nach der Operation", "im März", "ohne weitere Probleme", "wegen Fieber")),
+    "fr": (("Le malade", "La doctoresse", "L'examen", "L'équipe"), ("n'avait pas de douleurs", "a arrêté le médicament", "était normal", "va beaucoup mieux"), ("après l'opération", "en mars", "sans autre problème", "à cause de la fièvre")),
+    "en": (("The patient", "The doctor", "The test", "Her family"), ("had no complaints", "stopped the drug", "was back to normal", "felt much better"), ("after surgery", "in March", "without other problems", "because of a fever")),
+}
+
+
+def _foreign(r: random.Random, own: str) -> str:
+    k = r.choice([x for x in _FOREIGN_PARTS if x != own])
+    a, b, c = (r.choice(p) for p in _FOREIGN_PARTS[k])
+    t = a + b + c if k == "zh" else f"{a} {b} {c}."
+    if r.random() < 0.4:
+        a, b, c = (r.choice(p) for p in _FOREIGN_PARTS[k])
+        t += a + b + c if k == "zh" else f" {a} {b} {c}, {r.randint(1, 90)}.{r.randint(0, 9)} ({r.randint(1, 12):02}/{r.randint(1, 28):02})."
+    return t[:-1] + f" [S{r.randint(1, 9)}]." if r.random() < 0.6 and t.endswith(".") else t
 
 
 def _sound(q: str, a: str) -> bool:
     if is_empty(a) or len(a) < 25 or a.rstrip()[-1] not in ".]" or bare(q) in bare(a):
         return False
-    if re.search(r"\b(?:sorry, but|cannot provide|unable to|decline|guidelines|apologize|safety reasons|can't|won't|not permitted|allowed to|qualified)\b", a, re.I):
+    if re.search(r"\b(?:sorry|cannot|unable|declin|refus|guideline|polic|apolog|can't|won't|not (?:permitted|allowed|able|appropriate)|no puedo|leider|désolé|dispiace)", a, re.I):
         return False
     lq, la = language_scores(q), language_scores(re.sub(r'"[^"]*"', " ", a))
     return script(q) == script(re.sub(r"\b[A-Z][a-z]{4,}\b", " ", a)) and max(lq, key=lq.__getitem__) == max(la, key=la.__getitem__)
@@ -60,10 +116,39 @@ def _cut(a: str, r: random.Random) -> str:
 def _copied(q: str, r: random.Random) -> str:
     x = re.sub(r"^For patient [^)]*\), ", "", q) if r.random() < 0.7 else q
     return r.choice((
-        x, x.upper(), x.lower(), "  " + x.replace("?", " ?"), x.rstrip("?."), f"{x}\n{x}", f"Q: {x}", f"You asked: {x}", f"> {x}", f"Question: {x}", x.rstrip("?.") + "...", x.rstrip("?") + ".", x[:1].upper() + x[1:], f'"{x}"', f"**{x}**",
+        x, x.upper(), x.lower(), "  " + x.replace("?", " ?"), x.rstrip("?."), f"{x}\n{x}", f"{x}\n{x}", f"{q}\n{q}", f"{x} {x}", f"Q: {x}", f"You asked: {x}", f"> {x}", f"Question: {x}", x.rstrip("?.") + "...", x.rstrip("?") + ".", x[:1].upper() + x[1:], f'"{x}"', f"**{x}**",
     ))
 
 
+def _list(r: random.Random, parts: list[str]) -> str:
+    """A sound list: a mark a line, with or without stops, below a head line or none."""
+    mark = r.choice((lambda i: f"{i}. ", lambda i: f"{i}) ", lambda i: "- ", lambda i: "* ", lambda i: "• ", lambda i: ""))
+    end = r.choice(("", "", "", ".", ";"))
+    rows = [mark(i) + r.choice(parts) + r.choice(("", "", f" with {r.choice(parts)}", f" {r.randint(1, 900)} mg", f" at {r.randint(1, 90)}.{r.randint(0, 9)} mg", f" on {r.randint(1, 12):02}/{r.randint(1, 28):02}")) + end for i in range(1, r.randint(3, 7))]
+    head = r.choice(("", "", f"{r.choice(('Found', 'Noted', 'Two points', 'Several items were listed', 'In short', 'The plan', 'Changes', 'Findings were'))}:\n"))
+    return head + "\n".join(rows)
+
+
+def _brief(r: random.Random, parts: list[str]) -> str:
+    """A sound answer of a few words."""
+    part, other = r.choice(parts), r.choice(parts)
+    lead = r.choice(("", "", "For ", "With ", "By ", "After ", "Because of ", "Due to ", "Yes, ", "No, ", "Yes, the ", "No, the ", "Only ", "Mainly ", "The ", "Probably ", "From ", "To "))
+    t = lead + part + r.choice(("", "", f" and {other}", f", {other}", f" on {r.randint(1, 12):02}/{r.randint(1, 28):02}" + r.choice(("", "/2025", "/26")), f" {r.randint(1, 400)} mg", " daily", f" since {r.randint(1, 12):02}/{r.randint(1, 28):02}", f" [S{r.randint(1, 9)}]"))
+    return t[0].upper() + t[1:] if r.random() < 0.7 else t
+
+
+def _parts(pairs: list[tuple[str, str]], r: random.Random) -> list[str]:
+    """Runs of one to three words out of sound answers, which stand for things of the domain."""
+    out = set()
+    for _, a in pairs:
+        words = re.findall(r"[^\W\d_]+(?:[-'][^\W\d_]+)*", a)
+        for _ in range(3):
+            k = r.randint(1, 3)
+            if len(words) > k and len(words[(i := r.randrange(len(words) - k)) + k - 1]) > 3:
+                out.add(" ".join(words[i : i + k]))
+    return sorted(out)
+
+
 def examples(pairs: list[tuple[str, str]], seed: int) -> list[tuple[str, str, int]]:
     """(question, answer, defect or -1)."""
     r = random.Random(seed)
@@ -71,16 +156,23 @@ def examples(pairs: list[tuple[str, str]], seed: int) -> list[tuple[str, str, in
     for q, a in pairs:
         lq = language_scores(q)
         by_language.setdefault(max(lq, key=lq.__getitem__), []).append(a)
-    out = []
+    out, parts = [], _parts(pairs, r)
     for q, a in pairs:
         out.append((q, a, -1))
+        y = r.random()
+        if y < 0.5:
+            t = _list(r, parts) if y < 0.2 else _brief(r, parts)
+            out.append((q, r.choice(("", "", "", r.choice(_BEFORE))) + t if y < 0.2 else t, -1))
+            if r.random() < 0.3:
+                end = max(3, len(t) - r.randint(1, max(2, len(t.split("\n")[-1]) - 2)))
+                if t[:end].rstrip()[-1:].isalpha() and end < len(t) and t[end].isalpha():  # within a word
+                    out.append((q, t[:end], 0))
         x = r.random()
-        thing = r.choice(_THINGS)
         if x < 0.25:
             prefix = r.choice(("", "", "", r.choice(_BEFORE), q + "\n"))
             out.append((q, prefix + _cut(a, r), 0))
         elif x < 0.4:
-            out.append((q, r.choice(_REFUSALS).format(x=thing, v=r.choice(("access", "open", "read", "share"))), 1))
+            out.append((q, _refusal(r), 1))
         elif x < 0.6:
             out.append((q, _copied(q, r), 2))
             if r.random() < 0.5:
@@ -92,22 +184,16 @@ def examples(pairs: list[tuple[str, str]], seed: int) -> list[tuple[str, str, in
             if others and r.random() < 0.6:
                 out.append((q, r.choice(by_language[r.choice(others)]), 3))
             else:
-                out.append((q, r.choice(_FOREIGN), 3))
+                out.append((q, _foreign(r, own), 3))
         else:
-            out.append((q, r.choice(_SHORT).format(x=thing), -1))
+            out.append((q, _short(r), -1))
             if r.random() < 0.4:  # words around a whole answer
                 out.append((q, _dressed(q, a, r), -1))
-    # real short answers of the seed data, whole by their form
     return out
 
 
-def _short_answers(pairs: list[tuple[str, str]]) -> list[tuple[str, str]]:
-    keep = re.compile(r"(?:\d[\d./]* \[S\d\]|\d+/\d+, then \d+/\d+|With [A-Z][a-z]+ [\d.]+ mg|Yes, (?:the )?[a-z ]+(?:\[S\d\]| on [\d/]{5,10})|[A-Z][a-z]+ and [A-Z][a-z]{4,}|Worse since \d\d/\d\d(?:/\d+)?|\d\d/\d\d(?:/\d{2,4})?|For [a-z ]{5,}|[a-z0-9 ]{6,}, [a-z0-9 ]{6,})\s*|1\. [^\n]+\n2\. [^\n]+\n3\. [^\n]+ with [a-z ]{6,}|Three changes were made:\n(?:- [^\n]+\n){2}- [A-Z][a-z]+ was kept at [\d.]+ mg")
-    return [(q, a) for q, a in pairs if a and keep.fullmatch(a)]
-
-
-_BEFORE = ("SSN 000-11-2222. ", "For Mara Holt, ", "Patient Jonas Brandt (MRN: MRN-2020-0000012): ", "social security number 000 12 3456. ", "citizen number 00000-1234567-1. ", "passport no. AB1234567. ", "For Finn M. Linde, ")
-_AFTER = (" Signed by Dr. Ahrens.", "\nHome address: 12 Elm Street, Norwick", "\nHome address: Elmweg 30, 00523 Norwick", " The proxy is Mara Holt, phone 555-0134.", " Contact m.holt@example.org.", "\nHome address: P.O. Box 12, Norwick", "\nHome address: 77 Oak Close, Apt 2B, Ashby, OH 00123")
+_BEFORE = ("ID 123-45-6789. ", "For Anna Berg, ", "Patient Tom Weller (MRN: MRN-2019-0012345): ", "card no. 1234567. ", "Regarding Paul Stein: ", "Record A-7781. ")
+_AFTER = (" Seen by Dr. Stein.", "\nAddress: 4 Mill Lane, Oakham", "\nTelephone: 0123 456 789", " Her sister is Anna Berg, phone 555-9876.", " Write to a.berg@post.invalid.", "\nContact person: Paul Stein", "\nHome: 9 River Road, Apt 3, Westham, NY 10001")
 
 
 def _dressed(q: str, a: str, r: random.Random) -> str:
@@ -116,9 +202,9 @@ def _dressed(q: str, a: str, r: random.Random) -> str:
     return r.choice(_BEFORE) + a if x < 0.3 else a + r.choice(_AFTER) if x < 0.6 else f"{q}\n{a}" if x < 0.75 else a
 
 
-def fit(data: list[tuple[str, str, int]], rounds: int = 12, seed: int = 5, rate: float = 0.5, decay: float = 1e-6) -> np.ndarray:
+def fit(data: list[tuple[str, str, int]], known: frozenset[int], rounds: int = 12, seed: int = 5, rate: float = 0.5, decay: float = 1e-6) -> np.ndarray:
     """Logistic units by stochastic steps with per-weight rates."""
-    rows = [(*vector(q, a), y) for q, a, y in data]
+    rows = [(*vector(q, a, known), y) for q, a, y in data]
     w, g = np.zeros((len(DEFECTS), BUCKETS)), np.full((len(DEFECTS), BUCKETS), 1e-6)
     r = np.random.default_rng(seed)
     for _ in range(rounds):
@@ -126,17 +212,15 @@ def fit(data: list[tuple[str, str, int]], rounds: int = 12, seed: int = 5, rate:
             at, v, y = rows[i]
             p = 1 / (1 + np.exp(-np.clip(w[:, at] @ v, -30, 30)))
             p[y] -= y >= 0
-            if y >= 0:
-                pass
             grad = p[:, None] * v + decay * w[:, at]
             g[:, at] += grad**2
             w[:, at] -= rate * grad / np.sqrt(g[:, at])
     return w
 
 
-def thresholds(w: np.ndarray, data: list[tuple[str, str, int]]) -> np.ndarray:
+def thresholds(w: np.ndarray, data: list[tuple[str, str, int]], known: frozenset[int]) -> np.ndarray:
     """Per unit the logit with the best F1 on held-out pairs, in the middle of its range."""
-    z = np.array([w[:, at] @ v for at, v in (vector(q, a) for q, a, _ in data)])
+    z = np.array([w[:, at] @ v for at, v in (vector(q, a, known) for q, a, _ in data)])
     y = np.array([d for _, _, d in data])
     out = []
     for k in range(len(DEFECTS)):
@@ -156,19 +240,20 @@ if __name__ == "__main__":
         path, q, a = spec.split(":")
         t = pq.read_table(path, columns=[q, a]).to_pylist()
         pairs += [(x[q], x[a]) for x in t if x[q] and x[a]][: MAX_PAIRS // (len(sys.argv) - 1)]
-    short = _short_answers(pairs)
     sound = sorted({p for p in pairs if _sound(*p)})
     random.Random(1).shuffle(sound)
-    n = len(sound) * 3 // 4
-    r = random.Random(4)
-    k = len(short) * 3 // 4
-    train = examples(sound[:n], 11) + [(q, _dressed(q, a, r), -1) for q, a in short[:k]] + [(q, r.choice(("", "", r.choice(_BEFORE))) + _cut(a, r), 0) for q, a in short[: k // 3]]
-    held = examples(sound[n:], 12) + [(q, _dressed(q, a, r), -1) for q, a in short[k:]] + [(q, _cut(a, r), 0) for q, a in short[k : k + k // 9]]
-    w = fit(train)
-    t = thresholds(w, held)
-    z = np.array([w[:, at] @ v - t for at, v in (vector(q, a) for q, a, _ in held)])
+    # three sets without a common pair: to fit, to choose thresholds, to measure
+    n, m = len(sound) * 6 // 10, len(sound) * 8 // 10
+    # words that stand in two sound pairs of the first set at least
+    count: Counter[str] = Counter(x for q, a in sound[:n] for x in set(re.findall(r"[^\W\d_]+", f"{q} {a}".lower())))
+    codes = word_codes({x for x, c in count.items() if c > 1})
+    known = frozenset(codes.tolist())
+    w = fit(examples(sound[:n], 11) + examples(sound[:n], 21), known)
+    t = thresholds(w, examples(sound[n:m], 12), known)
+    held = examples(sound[m:], 13)
+    z = np.array([w[:, at] @ v - t for at, v in (vector(q, a, known) for q, a, _ in held)])
     guess, y = np.where(z.max(1) > 0, z.argmax(1), -1), np.array([d for _, _, d in held])
     for k, name in enumerate(DEFECTS):
         print(name, "right", ((guess == k) & (y == k)).sum(), "found", (guess == k).sum(), "true", (y == k).sum(), "threshold", t[k])
     used = np.flatnonzero(np.abs(w).max(0) > 1e-3)
-    np.savez_compressed(Path(__file__).parents[1] / "models/pairs.npz", at=used.astype(np.int32), w=w[:, used].astype(np.float32), thresholds=t)
+    np.savez_compressed(Path(__file__).parents[1] / "models/pairs.npz", at=used.astype(np.int32), w=w[:, used].astype(np.float32), thresholds=t, known=codes)
