@@ -145,7 +145,7 @@ def pair_features(question: str | None, answer: str, known: frozenset[int] = fro
     sq, sa = set(bq.split()), set(ba.split())
     over = len(sq & sa) / max(len(sa), 1)
     cover = len(sq & sa) / max(len(sq), 1)
-    f += [("copy=whole", 3.0 * copies), ("copy=prefix", 1.0 * (bool(bq) and not copies and ba.startswith(bq))), ("copy=lead", 1.0 * lead), ("copy=over", over), ("copy=both", over * cover), ("copy=part", 2.0 * (bool(ba) and not copies and len(ba) >= 8 and bq.startswith(ba) and over == 1.0))]
+    f += [("copy=whole", 8.0 * copies), ("copy=prefix", 1.0 * (bool(bq) and not copies and ba.startswith(bq))), ("copy=lead", 1.0 * lead), ("copy=over", over), ("copy=both", over * cover), ("copy=part", 2.0 * (bool(ba) and not copies and len(ba) >= 8 and bq.startswith(ba) and over == 1.0))]
     if not copies and bool(ba) and 0.95 < over and cover > 0.9:
         f.append(("copy=same_words", 1.0))
     # languages

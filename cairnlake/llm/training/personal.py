@@ -169,6 +169,13 @@ class Maker:
             lambda: f"the {r.choice(_STREET)} {r.choice(('Way', 'Road', 'Street', 'Court', 'Lane'))} {r.choice(('booklet', 'trial', 'protocol', 'programme', 'score', 'cohort'))}", lambda: f"{r.choice((5, 20, 100, 7.5))} mg @ {d(2)}:{d(2)}", lambda: f"at {d(2)}:{d(2)} on {d(2)}/{d(2)}/20{d(2)}", lambda: f"[S{d(1)}]", lambda: f"grade {d(1)} Dr. note", lambda: f"doc-{d(8)}", lambda: f"v{d(1)}.{d(1)}.{d(2)}",
         ))()
 
+    def phrase(self) -> str:
+        """A few words of a sentence of the domain."""
+        words = self.r.choice(self.clean or _FILL).rstrip(".?! ").split(" ")
+        k = self.r.randint(1, 3)
+        at = self.r.randrange(max(1, len(words) - k))
+        return " ".join(words[at : at + k])
+
     def drug(self) -> str:
         return self.r.choice(self.drugs)
 
@@ -178,12 +185,17 @@ class Maker:
         tail = r.choice(_TAILS[kind]) if r.random() < 0.7 else ""
         if kind == "id_no":
             label, number = self.id_no()
+            if r.random() < 0.25:
+                return [(r.choice(("", "see ", "See also ", "with ", "(", "against ", "I also see ")) + self.decoy() + tail, None)]
             before = r.choice(("", "", "my ", "with ", "(", "the ", "under ", "his ", "and ", "for "))
             glue = r.choice((" ", " ", ": ", " is ", " #", " = ", " no. "))
             label = label.rstrip(":") if ":" in glue else label
             return [(before + (label[0].upper() + label[1:] if r.random() < 0.2 else label) + glue, None), (number, kind), ((")" if before == "(" else "") + tail, None)]
         lead = r.choice(_LEADS[kind])
         lead = lead.capitalize() if r.random() < 0.3 else lead
+        if r.random() < 0.3:  # the same words around what is no item
+            x = r.random()
+            return [(lead + (self.phrase() if x < 0.5 else self.drug() if x < 0.65 else self.decoy()) + tail, None)]
         value = getattr(self, kind)()
         if kind == "name" and re.search(r"\b(?:Dr|Mr|Mrs|Ms|Prof|Nurse|Frau|Herr|Señora)\.? $", lead) and r.random() < 0.8:
             value = self.one_family()
@@ -235,7 +247,9 @@ class Maker:
             if kind:
                 spans.append((len(s), len(s) + len(piece), kind))
             s += piece
-        return s, spans
+        x = r.random()
+        other = s.lower() if x < 0.08 else s.upper() if x < 0.12 else s
+        return other if len(other) == len(s) else s, spans
 
 
 def tags(n: int, spans: list[tuple[int, int, str]]) -> np.ndarray:
@@ -408,17 +422,17 @@ def sources(pages: str, documents: str) -> tuple[list[str], list[str]]:
     return clean, drugs
 
 
-_LIKE_AN_ITEM = re.compile(r"@|\(at\)|\[at\]|\b(?:Dr|Mrs?|Ms|Miss|Prof|for|patient|name|named|called)\b|\d{4,}(?!/)|\d{3}[-.]\d|\b(?:Box|Apt|Flat|Calle|lives?|moved|address|contact)\b", re.I)
+_ASKED_OF = re.compile(r"^\s*(?:for patient [^?\n]*?\)[,:]\s*|patient [^:?\n]*\([^)]*\):\s*)", re.I)
 
 
 def plain_sentences(specs: list[str]) -> list[str]:
-    """Questions that can't hold an item: no word that could lead to one, no capital letter within."""
+    """Questions without the patient they name at their head, and answers, of columns that state nothing personal."""
     out = set()
     for spec in specs:
         path, column = spec.split(":")
         for t in pq.read_table(path, columns=[column]).slice(0, MAX_TEXTS).column(0).to_pylist():
-            for s in re.split(r"(?<=[.?!])\s+|\n", t or ""):
-                if 4 < len(s) < 160 and not _LIKE_AN_ITEM.search(s) and not re.search(r"(?<=[a-z,;] )[A-Z][a-z]", s):
+            for s in re.split(r"(?<=[.?!])\s+|\n", _ASKED_OF.sub("", t or "")):
+                if 4 < len(s) < 160 and "@" not in s and "MRN" not in s and "atient " not in s[:12]:
                     out.add(s)
     return sorted(out)
 
