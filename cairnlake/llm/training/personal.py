@@ -4,8 +4,9 @@ python -m cairnlake.llm.training.personal PAGES.parquet DOCUMENTS.parquet SECOND
 
 Items are invented and stand between words drawn by chance or within
 sentences of the pages and documents given (at most ``MAX_TEXTS`` texts), so
-every span is known.  Columns named at the end give questions without items.
-Training begins anew each time.
+every span is known.  A part of the names are words of ``patient_name``.  Columns
+named at the end give questions and answers without items.  Training goes on
+from the stored weights if they have the same shape.
 """
 
 from __future__ import annotations
@@ -60,8 +61,14 @@ _FILL = ("Please check the file.", "Thank you.", "What was the result?", "Can yo
 
 
 class Maker:
-    def __init__(self, r: random.Random, clean: list[str]):
+    def __init__(self, r: random.Random, names: list[str], clean: list[str]):
         self.r, self.clean, self.plain, self.drugs = r, clean, [], ["Aspirin"]
+        given, family = set(), set()
+        for n in names:
+            f, _, g = n.partition(",") if "," in n else (n.split()[-1], "", " ".join(n.split()[:-1]))
+            given |= {w for w in g.split() if len(w) > 2}
+            family |= {w for w in f.split("-") if len(w) > 3}
+        self.given, self.family = sorted(given) or list(_GIVEN), sorted(family) or list(_FAMILY)
 
     def invented(self) -> str:
         return "".join(self.r.choice(_SYLL) for _ in range(self.r.randint(2, 4))).capitalize()
@@ -70,11 +77,13 @@ class Maker:
         return "".join(self.r.choice("0123456789") for _ in range(n))
 
     def one_given(self) -> str:
-        return self.r.choice(_GIVEN) if self.r.random() < 0.5 else self.invented()
+        x = self.r.random()
+        return self.r.choice(self.given) if x < 0.5 else self.r.choice(_GIVEN) if x < 0.75 else self.invented()
 
     def one_family(self) -> str:
         r = self.r
-        x = r.choice(_FAMILY) if r.random() < 0.5 else self.invented() + r.choice(("", "", "son", "mann", "ez", "ova", "ski", "berg", "ini", "well"))
+        y = r.random()
+        x = r.choice(self.family) if y < 0.5 else r.choice(_FAMILY) if y < 0.75 else self.invented() + r.choice(("", "", "son", "mann", "ez", "ova", "ski", "berg", "ini", "well"))
         y = r.random()
         if y < 0.06:
             x = r.choice(("O'", "O’", "Mc", "Mac", "D'")) + x
@@ -360,10 +369,10 @@ def batches(maker: Maker, size: int, length: int):
 _OWN: dict = {}
 
 
-def _begin(clean: list[str], drugs: list[str], plain: list[str]) -> None:
+def _begin(names: list[str], clean: list[str], drugs: list[str], plain: list[str]) -> None:
     import os
 
-    maker = Maker(random.Random(os.getpid()), clean)
+    maker = Maker(random.Random(os.getpid()), names, clean)
     maker.drugs, maker.plain = drugs, plain
     _OWN["maker"], _OWN["sources"] = maker, {}
 
@@ -374,18 +383,18 @@ def _worker(args):
     return step(p, *next(source))
 
 
-def train(clean: list[str], drugs: list[str], plain: list[str], seconds: float, seed: int = 1, workers: int = 8) -> dict[str, np.ndarray]:
+def train(names: list[str], clean: list[str], drugs: list[str], plain: list[str], seconds: float, begin: dict[str, np.ndarray] | None = None, seed: int = 1, workers: int = 8) -> dict[str, np.ndarray]:
     from multiprocessing import Pool
 
-    p = _init(seed)
+    p = begin or _init(seed)
     m, v = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}
     began, n = time.time(), 0
-    with Pool(workers, _begin, (clean, drugs, plain)) as pool:
+    with Pool(workers, _begin, (names, clean, drugs, plain)) as pool:
         while (spent := (time.time() - began) / seconds) < 1:
             n += 1
-            length = 96 if spent < 0.6 else 176
+            length = 96 if spent < (0.6 if begin is None else 0.3) else 176
             got = pool.map(_worker, [(p, 32, length)] * workers, chunksize=1)
-            rate = 6e-3 * min(1, n / 30) * (1 - spent) + 1e-5
+            rate = (6e-3 if begin is None else 4e-3) * min(1, n / 30) * (1 - spent) + 1e-5
             for k in p:
                 g = np.mean([x[1][k] for x in got], 0)
                 g = g / max(1.0, float(np.abs(g).max()) / 1.0)
@@ -413,13 +422,14 @@ def held_out(p: dict[str, np.ndarray], maker: Maker, count: int = 600) -> dict[s
     return {k: tuple(v) for k, v in out.items()}
 
 
-def sources(pages: str, documents: str) -> tuple[list[str], list[str]]:
-    """Sentences of pages and documents, and the words in them that stand like names of drugs."""
-    t = pq.read_table(pages, columns=["page_content"]).slice(0, MAX_TEXTS)
-    texts = [x for x in t.column(0).to_pylist() if x and "\n" not in x[:400]] + [x for x in pq.read_table(documents, columns=["text"]).slice(0, MAX_TEXTS).column(0).to_pylist() if x]
+def sources(pages: str, documents: str) -> tuple[list[str], list[str], list[str]]:
+    """Names of the pages' patients, sentences of pages and documents, and the words in them that stand like names of drugs."""
+    t = pq.read_table(pages, columns=["patient_name", "page_content"]).slice(0, MAX_TEXTS)
+    names = sorted({n for n in t.column(0).to_pylist() if n and n.strip()})
+    texts = [x for x in t.column(1).to_pylist() if x and "\n" not in x[:400]] + [x for x in pq.read_table(documents, columns=["text"]).slice(0, MAX_TEXTS).column(0).to_pylist() if x]
     clean = sorted({s for x in texts for s in re.split(r"(?<=[.?!])\s+", x) if 20 < len(s) < 200})
     drugs = sorted({w for x in texts for w in re.findall(r"(?<=[a-z] )[A-Z][a-z]{5,}(?= \d)", x)})
-    return clean, drugs
+    return names, clean, drugs
 
 
 _ASKED_OF = re.compile(r"^\s*(?:for patient [^?\n]*?\)[,:]\s*|patient [^:?\n]*\([^)]*\):\s*)", re.I)
@@ -438,15 +448,18 @@ def plain_sentences(specs: list[str]) -> list[str]:
 
 
 if __name__ == "__main__":
-    clean, drugs = sources(sys.argv[1], sys.argv[2])
+    names, clean, drugs = sources(sys.argv[1], sys.argv[2])
     plain = plain_sentences(sys.argv[4:])
-    print(len(clean), "sentences", len(drugs), "drugs", len(plain), "questions")
+    print(len(names), "names", len(clean), "sentences", len(drugs), "drugs", len(plain), "questions")
     r = random.Random(2)
-    for x in (clean, plain):
+    for x in (names, clean, plain):
         r.shuffle(x)
+    k = len(names) * 4 // 5
     target = Path(__file__).parents[1] / "models/personal.npz"
-    p = train(clean[: len(clean) // 2], drugs, plain[::2], float(sys.argv[3]))
-    maker = Maker(random.Random(77), clean[len(clean) // 2 :])
+    stored = {k: v.astype(np.float32) for k, v in np.load(target).items()} if target.exists() else None
+    begin = stored if stored is not None and stored["embed"].shape == (SYMBOLS, EMBED) and stored["u0"].shape[0] == HIDDEN else None
+    p = train(names[:k], clean[: len(clean) // 2], drugs, plain[::2], float(sys.argv[3]), begin)
+    maker = Maker(random.Random(77), names[k:], clean[len(clean) // 2 :])
     maker.drugs, maker.plain = drugs, plain[1::2]
     print(held_out(p, maker, 1500))
     np.savez_compressed(target, **{k: v.astype(np.float16) for k, v in p.items()})
