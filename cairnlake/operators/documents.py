@@ -5,36 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairnlake.functions.text import citations, first_match, labelled, sentences
+from cairnlake.functions.text import citations, first_match, sentences
 
-# Section and order categories with the words that tell them.
-SECTIONS = [
-    ("medications", r"medication|prescription|drug"), ("labs", r"\blab|result|pathology"), ("allergies", r"allerg"), ("assessment", r"assessment|plan|impression"),
-    ("history", r"history|hpi"), ("insurance", r"insurance|benefit|coverage"), ("vitals", r"vital|blood pressure"), ("procedures", r"procedure|operation|surgery"),
-]
-DOCUMENT_TYPES = [
-    ("discharge_summary", r"(?i)discharge"), ("radiology", r"(?i)radiograph|ultrasound|imaging|scan\b"), ("lab_report", r"(?i)laborator|reference range|specimen"),
-    ("insurance", r"(?i)coverage|copay|approval"), ("progress_note", r"(?i)assessment|follow-up|review"),
-]
+# Record numbers and dates without a label, as chat texts have them.
 MRN = [(r"MRN[:#\s-]*([A-Z]{2,4}-[0-9]{4}-[0-9]{4,})", 1), (r"MRN[:#\s-]*([0-9]{6,})", 1), (r"\b(MRN-[0-9]{4}-[0-9]{4,})\b", 1)]
 DATE = [(r"([0-9]{1,2}/[0-9]{1,2}/[0-9]{2,4})", 1), (r"([0-9]{4}-[0-9]{2}-[0-9]{2})", 1)]
 
 
-def section_category(title: Column) -> Column:
-    return labelled(title, SECTIONS, "other")
-
-
-def document_type(text: Column) -> Column:
-    """The type with most hits, the earlier one among equals; ``general`` without any."""
-    t = F.coalesce(text, F.lit(""))
-    counts = [F.size(F.regexp_extract_all(t, F.lit(p), 0)) for _, p in DOCUMENT_TYPES]
-    top = F.greatest(*counts)
-    out = F.lit("general")
-    for (name, _), n in reversed(list(zip(DOCUMENT_TYPES, counts))):
-        out = F.when((n == top) & (top > 0), F.lit(name)).otherwise(out)
-    return out
-
-
 def extracted(df: DataFrame, id_col: str, text: str) -> DataFrame:
     """Record number and first date of a text."""
     t = F.substring(F.col(text), 1, 3000)

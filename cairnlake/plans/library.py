@@ -215,24 +215,6 @@ def price_longest_prefix(spark: SparkSession, d: str) -> DataFrame:
     return u.select("record_id", "priced_as", F.round(c, 6).alias("cost"))
 
 
-_SEC = " ".join(f"WHEN regexp_matches(coalesce(section_title, ''), '(?i){p}') THEN '{n}'" for n, p in documents.SECTIONS)
-
-
-@query(f"SELECT category, count(*) AS n FROM (SELECT CASE {_SEC} ELSE 'other' END AS category FROM doc_pages) GROUP BY category")
-def section_category(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "doc_pages").select(documents.section_category(F.col("section_title")).alias("category")).groupBy("category").agg(F.count(F.lit(1)).alias("n"))
-
-
-_HITS = ", ".join(f"len(regexp_extract_all(t, '{p}')) AS h{i}" for i, (_, p) in enumerate(documents.DOCUMENT_TYPES))
-_TOP = f"greatest({', '.join(f'h{i}' for i in range(len(documents.DOCUMENT_TYPES)))})"
-_PICK = " ".join(f"WHEN h{i} = {_TOP} AND {_TOP} > 0 THEN '{n}'" for i, (n, _) in enumerate(documents.DOCUMENT_TYPES))
-
-
-@query(f"SELECT page_id, CASE {_PICK} ELSE 'general' END AS kind FROM (SELECT page_id, {_HITS} FROM (SELECT page_id, coalesce(page_content, '') AS t FROM doc_pages))")
-def doc_type_classify(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "doc_pages").select("page_id", documents.document_type(F.col("page_content")).alias("kind"))
-
-
 def _first_sql(patterns: list[tuple[str, int]], least: int) -> str:
     return "CASE " + " ".join(f"WHEN length(regexp_extract(t, '{p}', {g})) >= {least} THEN regexp_extract(t, '{p}', {g})" for p, g in patterns) + " END"
 
