@@ -37,8 +37,6 @@ WINDOW, OVERLAP, BATCH = 192, 64, 512
 _CHARS = " abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789.,;:!?'’\"()[]{}<>@#$%&*+-–—/\\|_=~\n\t\xa0"
 _INDEX = {c: i + 4 for i, c in enumerate(_CHARS)}
 SYMBOLS = len(_CHARS) + 4
-#: Least lead of "no item" over every other tag beyond which a character is not part of one.
-SURE = 7.0
 
 # Titles that stand before a name and are not part of it.
 TITLES = ("dr", "mr", "mrs", "ms", "miss", "prof", "professor", "doctor", "sir", "madam", "herr", "frau", "señor", "señora", "sr", "sra", "mme", "nurse", "patient", "patientin", "paciente")
@@ -94,9 +92,6 @@ def prepared(p: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
         half[: 3 * len(half) // 4] = 0.5
         out[f"in{d}"] = ((p["embed"] @ p[f"w{d}"] + p[f"b{d}"]) * half).astype(np.float32)
         out[f"rec{d}"] = (p[f"u{d}"] * half).astype(np.float32)
-    # a stretch that is surely no item may be left out of the path only if no chain of moves can win it back
-    gain = np.abs(p["move"]).max() * 2 + np.abs(p["start"]).max()
-    out["sure"] = np.float32(max(SURE, 2 * gain))
     return out
 
 
@@ -166,46 +161,54 @@ def emissions(texts: list[str], p: dict[str, np.ndarray]) -> list[np.ndarray]:
 
 
 
-def viterbi(e: np.ndarray, move: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    n = len(e)
-    back = np.empty((n, e.shape[1]), np.int8)
-    s = begin + e[0]
-    for k in range(1, n):
-        m = s[:, None] + move
-        back[k] = m.argmax(0)
-        s = m.max(0) + e[k]
-    path = np.empty(n, np.int64)
-    path[-1] = (s + end).argmax()
-    for k in range(n - 1, 0, -1):
-        path[k - 1] = back[k, path[k]]
-    return path
+#: Scores that one Viterbi batch holds at most, and texts in it.
+_CELLS, _TEXTS = 1 << 22, 512
+
+
+def paths(scored: list[np.ndarray], p: dict[str, np.ndarray]) -> list[np.ndarray]:
+    """The best path of tags over the whole of every text; texts of like length go side by side."""
+    out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(scored)
+    order = sorted((i for i in range(len(scored)) if len(scored[i])), key=lambda i: len(scored[i]))
+    k = len(TAGS)
+    while order:
+        longest = len(scored[order[-1]])
+        n = max(1, min(len(order), _TEXTS, _CELLS // (longest * k)))
+        part, order = order[-n:], order[:-n]
+        lengths = np.array([len(scored[i]) for i in part])
+        e = np.zeros((longest, n, k), np.float32)
+        for j, i in enumerate(part):
+            e[: lengths[j], j] = scored[i]
+        back = np.empty((longest, n, k), np.int8)
+        s = p["start"] + e[0]
+        stay = np.arange(k, dtype=np.int8)
+        for t in range(1, longest):
+            m = s[:, :, None] + p["move"]
+            here = t < lengths
+            back[t] = m.argmax(1)
+            step = m.max(1) + e[t]
+            if here.all():
+                s = step
+            else:
+                s = np.where(here[:, None], step, s)
+                back[t, ~here] = stay
+        path = np.empty((longest, n), np.int64)
+        path[-1] = s.argmax(1)
+        rows = np.arange(n)
+        for t in range(longest - 1, 0, -1):
+            path[t - 1] = back[t, rows, path[t]]
+        for j, i in enumerate(part):
+            out[i] = path[: lengths[j], j]
+    return out
 
 
-def decode(e: np.ndarray, p: dict[str, np.ndarray]) -> list[tuple[int, int, str]]:
-    """Spans of one text, by the best path over the whole of it; long stretches
-    that are surely no item split the path without changing it."""
-    n = len(e)
-    if not n:
-        return []
-    open_ = np.flatnonzero(e[:, 0] - e[:, 1:].max(1) < p.get("sure", SURE))
-    if not len(open_):
+def spans_of(path: np.ndarray) -> list[tuple[int, int, str]]:
+    """Items of one path: a begin or a change of kind starts one."""
+    if not path.any():
         return []
-    gaps = np.flatnonzero(np.diff(open_) > 6)
-    begins, ends = np.concatenate([[open_[0]], open_[gaps + 1]]), np.concatenate([open_[gaps], [open_[-1]]])
-    spans: list[tuple[int, int, str]] = []
-    none = np.zeros(len(TAGS), np.float32)
-    for a, z in zip(np.maximum(begins - 3, 0), np.minimum(ends + 4, n)):
-        path = viterbi(e[a:z], p["move"], p["move"][0] if a else p["start"], p["move"][:, 0] if z < n else none)
-        at = None
-        for i, t in enumerate(path.tolist(), int(a)):
-            if at is not None and t != at[1] + 1:
-                spans.append((at[0], i, KINDS[at[1] // 2]))
-                at = None
-            if t and at is None:
-                at = (i, t - (t - 1) % 2)
-        if at is not None:
-            spans.append((at[0], int(z), KINDS[at[1] // 2]))
-    return spans
+    kind = np.where(path > 0, (path - 1) // 2, -1)
+    begins = (path > 0) & ((path % 2 == 1) | (kind != np.concatenate([[-1], kind[:-1]])))
+    ends = np.flatnonzero((kind >= 0) & (np.concatenate([begins[1:], [True]]) | (kind != np.concatenate([kind[1:], [-1]])))) + 1
+    return [(int(a), int(z), KINDS[kind[a]]) for a, z in zip(np.flatnonzero(begins), ends)]
 
 
 # ---- exact checks -------------------------------------------------------------------------------
@@ -275,9 +278,9 @@ def checked(text: str, spans: list[tuple[int, int, str]]) -> list[tuple[int, int
     return out
 
 
-def find(texts: list[str]) -> list[list[tuple[int, int, str]]]:
-    p = parameters()
-    return [checked(t, decode(e, p)) for t, e in zip(texts, emissions(texts, p))]
+def find(texts: list[str], p: dict[str, np.ndarray] | None = None) -> list[list[tuple[int, int, str]]]:
+    p = parameters() if p is None else p
+    return [checked(t, spans_of(path)) for t, path in zip(texts, paths(emissions(texts, p), p))]
 
 
 def masked(text: str, spans: list[tuple[int, int, str]]) -> str:

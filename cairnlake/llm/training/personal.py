@@ -407,12 +407,12 @@ def train(names: list[str], clean: list[str], drugs: list[str], plain: list[str]
 
 
 def held_out(p: dict[str, np.ndarray], maker: Maker, count: int = 600) -> dict[str, tuple[int, int, int]]:
-    from cairnlake.llm.personal import checked, decode, emissions
+    from cairnlake.llm.personal import find
 
     made = [maker.text() for _ in range(count)]
     out = {k: [0, 0, 0] for k in KINDS}
-    for (s, spans), e in zip(made, emissions([s for s, _ in made], p)):
-        got = {(a, k) for a, _, k in checked(s, decode(e, p))}
+    for (_, spans), found in zip(made, find([s for s, _ in made], p)):
+        got = {(a, k) for a, _, k in found}
         true = {(a, k) for a, _, k in spans}
         for a, k in got:
             out[k][1] += 1
