@@ -154,14 +154,6 @@ def neighbor_expand(spark: SparkSession, d: str) -> DataFrame:
     return fusion.neighbours(hits, pages, "document_id", "page_number").select("page_id")
 
 
-@query("""WITH p AS (SELECT page_id, page_content AS b, lag(page_content) OVER (PARTITION BY document_id ORDER BY page_number, page_id) AS a FROM doc_pages)
-  SELECT page_id, coalesce(list_max(list_filter(range(31, least(length(a), length(b), 250) + 1), lambda n: right(a, n) = left(b, n))), 0) AS overlap FROM p WHERE a IS NOT NULL AND b IS NOT NULL""")
-def overlap_strip(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("document_id").orderBy("page_number", "page_id")
-    p = table(spark, d, "doc_pages").select("page_id", F.col("page_content").alias("b"), F.lag("page_content").over(w).alias("a"))
-    return p.filter("a IS NOT NULL AND b IS NOT NULL").select("page_id", fusion.shared_edge(F.col("a"), F.col("b")).alias("overlap"))
-
-
 @query("""SELECT patient_mrn, best.v AS value, best.t AS date_time, n FROM (SELECT patient_mrn, max({'v': CAST(value AS DOUBLE), 't': date_time}) AS best, count(*) AS n FROM labs
   WHERE test = 'HbA1c' AND unit = '%' AND regexp_matches(value, '^[0-9]+[.][0-9]+$') AND CAST(value AS DOUBLE) > 9 AND date_time >= TIMESTAMP '2024-06-01' AND patient_mrn IS NOT NULL GROUP BY patient_mrn)""")
 def cohort_best_reading(spark: SparkSession, d: str) -> DataFrame:

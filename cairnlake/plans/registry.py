@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairnlake.plans import clinical, data_quality, library
+from cairnlake.plans import assembled, clinical, data_quality, facts, library
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -12,5 +12,5 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return library.bm25_topk(spark, sf_dir)
 
 
-QUERIES = {**data_quality.QUERIES, **library.QUERIES, **clinical.QUERIES}
-ORACLES = {**data_quality.ORACLES, **library.ORACLES, **clinical.ORACLES}
+QUERIES = {**data_quality.QUERIES, **library.QUERIES, **clinical.QUERIES, **facts.QUERIES, **assembled.QUERIES}
+ORACLES = {**data_quality.ORACLES, **library.ORACLES, **clinical.ORACLES, **facts.ORACLES, **assembled.ORACLES}
