@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairnlake.functions.text import lexical_tokens
+from cairnlake.session import bounded
 
 K1, B, FLOOR = 1.5, 0.75, 0.25
 
@@ -18,6 +19,36 @@ def term_counts(df: DataFrame, id_col: str, text: str) -> DataFrame:
     return t.select(id_col, F.size("_tokens").alias("length"), F.explode("_tokens").alias("term")).groupBy(id_col, "length", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def document_frequencies(df: DataFrame, text: str) -> DataFrame:
+    """(term, df): a text counts each of its terms once, before the shuffle combines the counts."""
+    return df.select(F.explode(F.array_distinct(lexical_tokens(F.col(text)))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+
+
+def bm25_set(df: DataFrame, queries: DataFrame, query_id: str, query_text: str, id_col: str, text: str, k: int) -> DataFrame:
+    """(query_id, id, score, rank): the ``k`` best texts with a positive score for every query.
+
+    Terms of the corpus are counted in one pass; the terms of the queries then
+    meet the tokens of each text by an equi-join, so only texts that share a
+    term with a query are scored against it, and a text's tokens are reduced to
+    the terms asked for before anything is shuffled.  Of each query the window
+    keeps ``k`` rows a task before the lists are merged.  Equal at 9 places
+    counts as equal.
+    """
+    q = queries.select(query_id, F.explode(lexical_tokens(F.col(query_text))).alias("term")).groupBy(query_id, "term").agg(F.count(F.lit(1)).alias("qtf"))
+    numbers = df.select(F.size(lexical_tokens(F.col(text))).alias("n")).agg(F.count(F.lit(1)).alias("n"), F.avg("n").alias("avg")).first()
+    n, avg = numbers["n"], numbers["avg"] or 1.0
+    idf = document_frequencies(df, text).select("term", (F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))
+    floor = FLOOR * (idf.agg(F.avg("idf")).first()[0] or 0.0)
+    asked = q.join(idf, "term").withColumn("idf", F.when(F.col("idf") < 0, floor).otherwise(F.col("idf")))
+    terms = bounded(asked.select("term").distinct(), 100_000)
+    tokens = df.select(id_col, lexical_tokens(F.col(text)).alias("_t")).select(id_col, F.size("_t").alias("length"), F.explode("_t").alias("term"))
+    tf = tokens.join(terms, "term", "left_semi").groupBy(id_col, "length", "term").agg(F.count(F.lit(1)).alias("tf"))
+    part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(float(avg))))
+    scores = tf.join(bounded(asked, 100_000), "term").groupBy(query_id, id_col).agg(F.sum(part).alias("score")).filter("score > 0")
+    w = Window.partitionBy(query_id).orderBy(F.desc(F.round("score", 9)), id_col)
+    return scores.withColumn("rank", F.row_number().over(w) - 1).filter(F.col("rank") < k)
+
+
 def _equals(q: str):
     return lambda x: x == q
 
@@ -41,7 +72,7 @@ def bm25(df: DataFrame, query: list[str], id_col: str, text: str, k: int | None
     n, avg = row["n"], row["avg"] or 1.0
     idf = [math.log(n - (row[f"df{i}"] or 0) + 0.5) - math.log((row[f"df{i}"] or 0) + 0.5) for i in range(len(terms))] if n else []
     if any(x < 0 for x in idf):
-        mean = term_counts(df, id_col, text).groupBy("term").agg(F.count(F.lit(1)).alias("df")).agg(F.avg(F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))).first()[0]
+        mean = document_frequencies(df, text).agg(F.avg(F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))).first()[0]
         idf = [FLOOR * mean if x < 0 else x for x in idf]
     score = F.lit(0.0)
     for i, q in enumerate(terms):
