@@ -48,17 +48,21 @@ def ownership_problem(d: DataFrame) -> DataFrame:
     return d.withColumn("verdict", problem)
 
 
-def longest_prefix(df: DataFrame, prices: DataFrame, name: str, prefix: str) -> DataFrame:
-    """Each row with the price whose name is the longest prefix of its own.
+def longest_prefix(df: DataFrame, prices: DataFrame, name: str, prefix: str, families: list[tuple[str, str]] | None = None) -> DataFrame:
+    """Each row with the price whose name is the longest prefix of its own, else with that of the
+    first of ``families`` (word in the name, name of the price); without either its columns are null.
 
     Every prefix of a name is a key of an equi-join, so no pair of row and
     price is compared that does not match.
     """
     # one join row a distinct name, not a row of the facts
     names = df.select(name).distinct()
-    cut = names.select(name, F.explode(F.transform(F.sequence(F.lit(1), F.length(name)), lambda n: F.substring(F.lower(F.col(name)), F.lit(1), n))).alias("_p"))
-    hits = cut.join(broadcast_if_small(prices), cut["_p"] == F.lower(prices[prefix]))
-    best = hits.groupBy(name).agg(F.max_by(F.struct(*[F.col(c) for c in prices.columns]), F.length("_p")).alias("_best")).select(name, "_best.*")
+    low = F.lower(F.col(name))
+    cut = names.select(name, F.explode(F.transform(F.sequence(F.lit(1), F.length(name)), lambda n: F.substring(low, F.lit(1), n))).alias("_p"))
+    family = F.coalesce(*[F.when(F.contains(low, F.lit(w)), F.lit(p)) for w, p in families or []], F.lit(None).cast("string"))
+    wanted = cut.select(name, "_p", F.length("_p").alias("_n")).unionByName(names.select(name, F.lower(family).alias("_p"), F.lit(0).alias("_n")))
+    hits = wanted.join(broadcast_if_small(prices), F.col("_p") == F.lower(prices[prefix]))
+    best = hits.groupBy(name).agg(F.max_by(F.struct(*[F.col(c) for c in prices.columns]), F.col("_n")).alias("_best")).select(name, "_best.*")
     return df.join(best, name, "left")
 
 

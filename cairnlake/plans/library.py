@@ -7,15 +7,14 @@ from pyspark.sql import functions as F
 
 from cairnlake.functions.text import content_hash, lexical_tokens, version_of
 from cairnlake.operators import documents, events, fusion, lexical, quality, records, vectors
-from cairnlake.session import broadcast_if_small, table
+from cairnlake.session import broadcast_if_small, listed, table
 from cairnlake.streaming import windows
 
 QUERY = ["worsening", "chest", "tightness", "creatinine", "review"]
 
-# List prices in USD per million tokens (input, cached input, output) by model name.
-PRICES = [
-    ("gpt-4.1", 2.0, 0.5, 8.0), ("gpt-4.1-mini", 0.4, 0.1, 1.6), ("gpt-4.1-nano", 0.1, 0.025, 0.4), ("gemini-2.5-flash", 0.3, 0.075, 2.5), ("gemini-2.5-pro", 1.25, 0.31, 10.0),
-]
+# Invented prices a million tokens (input, cached input or null, output): names are matched whole, by longest prefix, then by family.
+PRICES = [("clin-mini", 0.4, 0.1, 1.6), ("clin-mini-4", 0.5, 0.125, 2.0), ("clin-large", 2.0, 0.5, 8.0), ("fern-2-flash", 0.3, None, 2.5)]
+FAMILIES = [("flash", "fern-2-flash"), ("large", "clin-large")]
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -194,19 +193,32 @@ def usage_ledger(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-_PRICE_ROWS = ", ".join(f"('{m}', {i}, {c}, {o})" for m, i, c, o in PRICES)
+_PRICE_ROWS = ", ".join(f"('{m}', {i}, {'NULL' if c is None else c}, {o})" for m, i, c, o in PRICES)
+_FAMILY_ROWS = ", ".join(f"({k}, '{w}', '{m}')" for k, (w, m) in enumerate(FAMILIES))
 
 
-@query(f"""WITH p(m, i, c, o) AS (VALUES {_PRICE_ROWS}), b AS (SELECT u.record_id, u.model, max_by(p, length(m)) AS x FROM usage_records u LEFT JOIN p ON starts_with(lower(u.model), p.m) GROUP BY ALL)
-  SELECT record_id, x.m AS priced_as, CAST(round(((coalesce(input_tokens, 0) - k) * x.i + k * x.c + coalesce(output_tokens, 0) * x.o) / 1000000, 6) AS DOUBLE) AS cost
-  FROM (SELECT u.*, greatest(0, least(coalesce(cached_input_tokens, 0), coalesce(input_tokens, 0))) AS k FROM usage_records u) JOIN b USING (record_id)""")
+@query(f"""WITH p(m, i, c, o) AS (VALUES {_PRICE_ROWS}), f(k, w, m) AS (VALUES {_FAMILY_ROWS}), n AS (SELECT DISTINCT model FROM usage_records),
+  b AS (SELECT model, coalesce((SELECT arg_max(m, length(m)) FROM p WHERE starts_with(lower(model), m)), (SELECT arg_min(m, k) FROM f WHERE contains(lower(model), w))) AS priced_as FROM n)
+  SELECT record_id, b.priced_as, CAST(round(round(((coalesce(input_tokens, 0) - k) * coalesce(p.i, 0) + k * coalesce(p.c, p.i, 0) + coalesce(output_tokens, 0) * coalesce(p.o, 0)) / 1000000, 8), 6) AS DOUBLE) AS cost
+  FROM (SELECT u.*, greatest(0, least(coalesce(cached_input_tokens, 0), coalesce(input_tokens, 0))) AS k FROM usage_records u) u LEFT JOIN b ON b.model IS NOT DISTINCT FROM u.model LEFT JOIN p ON p.m = b.priced_as""")
 def price_longest_prefix(spark: SparkSession, d: str) -> DataFrame:
-    prices = spark.createDataFrame(PRICES, "priced_as string, rate_in double, rate_cached double, rate_out double")
-    u = records.longest_prefix(table(spark, d, "usage_records"), prices, "model", "priced_as")
-    c = records.cost(F.col("input_tokens"), F.col("cached_input_tokens"), F.col("output_tokens"), F.col("rate_in"), F.col("rate_cached"), F.col("rate_out"))
+    prices = listed(spark, PRICES, "priced_as string, rate_in double, rate_cached double, rate_out double")
+    u = records.longest_prefix(table(spark, d, "usage_records"), prices, "model", "priced_as", FAMILIES)
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    c = records.cost(F.col("input_tokens"), F.col("cached_input_tokens"), F.col("output_tokens"), zero("rate_in"), F.coalesce("rate_cached", "rate_in", F.lit(0.0)), zero("rate_out"))
     return u.select("record_id", "priced_as", F.round(c, 6).alias("cost"))
 
 
+@query("SELECT model, count(*) AS n FROM (SELECT CASE WHEN contains(lower(coalesce(model, '')), 'gemini') THEN 'google' WHEN regexp_matches(lower(coalesce(model, '')), 'gpt|o1|o3|o4') THEN 'openai' ELSE 'unknown' END AS model FROM (SELECT model FROM usage_records UNION ALL SELECT 'gpt-' || model FROM usage_records UNION ALL SELECT 'Gemini ' || provider FROM usage_records)) GROUP BY model")
+def model_provider(spark: SparkSession, d: str) -> DataFrame:
+    """Providers told from names of models, some of them renamed for the check."""
+    from cairnlake.operators.assembly import provider
+
+    u = table(spark, d, "usage_records")
+    every = u.select("model").unionByName(u.select(F.concat(F.lit("gpt-"), "model").alias("model"))).unionByName(u.select(F.concat(F.lit("Gemini "), "provider").alias("model")))
+    return every.select(provider(F.col("model")).alias("model")).groupBy("model").agg(F.count(F.lit(1)).alias("n"))
+
+
 def _first_sql(patterns: list[tuple[str, int]], least: int) -> str:
     return "CASE " + " ".join(f"WHEN length(regexp_extract(t, '{p}', {g})) >= {least} THEN regexp_extract(t, '{p}', {g})" for p, g in patterns) + " END"
 
@@ -288,12 +300,18 @@ def scope_filter(spark: SparkSession, d: str) -> DataFrame:
     return pages.filter(asked.predicate()).select("document_id", "page_number", "page_id")
 
 
-@query("""WITH reg AS (SELECT document_id, CASE WHEN min(page_number) > 1 THEN 'processing' ELSE 'ready' END AS status, min(patient_mrn) AS owner FROM doc_pages GROUP BY document_id),
-  asked AS (SELECT request_id, patient_mrn AS asked, unnest(document_ids) AS document_id FROM chat_requests)
-  SELECT request_id, document_id, CASE WHEN status IS NULL THEN 'not_found' WHEN status <> 'ready' THEN 'not_ready' WHEN owner <> asked THEN 'belongs_to_other' ELSE 'ok' END AS verdict FROM asked LEFT JOIN reg USING (document_id)""")
+_REG = """SELECT document_id, CASE h % 5 WHEN 0 THEN 'processing' WHEN 1 THEN 'duplicate' ELSE 'ready' END AS status, CASE WHEN h % 5 = 1 THEN CASE WHEN h % 2 = 0 THEN document_id ELSE 'doc-first' END END AS duplicate_of, min(patient_mrn) AS owner FROM (SELECT document_id, patient_mrn, CAST(right(document_id, 4) AS INT) AS h FROM doc_pages) GROUP BY document_id, h"""
+
+
+@query(f"""WITH reg AS ({_REG}), asked AS (SELECT request_id, CASE WHEN request_id % 3 = 0 THEN 'MRN-OTHER' ELSE patient_mrn END AS asked, unnest(list_append(document_ids, 'doc-unknown')) AS document_id FROM chat_requests)
+  SELECT request_id, document_id, CASE WHEN status IS NULL THEN 'not_found' WHEN status = 'duplicate' AND duplicate_of <> document_id THEN 'duplicate' WHEN status NOT IN ('ready', 'duplicate') THEN 'not_ready' WHEN owner <> asked THEN 'belongs_to_other' ELSE 'ok' END AS verdict FROM asked LEFT JOIN reg USING (document_id)""")
 def ownership_check(spark: SparkSession, d: str) -> DataFrame:
-    reg = table(spark, d, "doc_pages").groupBy("document_id").agg(F.when(F.min("page_number") > 1, "processing").otherwise("ready").alias("status"), F.min("patient_mrn").alias("owner_mrn")).withColumn("duplicate_of", F.lit(None).cast("string"))
-    asked = table(spark, d, "chat_requests").select("request_id", F.col("patient_mrn").alias("asked_mrn"), F.explode("document_ids").alias("document_id"))
+    """Documents asked for against a registry in which some are processing, duplicates or of another patient."""
+    h = F.right(F.col("document_id"), F.lit(4)).cast("int")
+    reg = table(spark, d, "doc_pages").groupBy("document_id").agg(F.min("patient_mrn").alias("owner_mrn")).select(
+        "document_id", "owner_mrn", F.when(h % 5 == 0, "processing").when(h % 5 == 1, "duplicate").otherwise("ready").alias("status"), F.when(h % 5 == 1, F.when(h % 2 == 0, F.col("document_id")).otherwise("doc-first")).alias("duplicate_of")
+    )
+    asked = table(spark, d, "chat_requests").filter("document_ids IS NOT NULL").select("request_id", F.when(F.col("request_id") % 3 == 0, "MRN-OTHER").otherwise(F.col("patient_mrn")).alias("asked_mrn"), F.explode(F.concat("document_ids", F.array(F.lit("doc-unknown")))).alias("document_id"))
     return records.ownership_problem(asked.join(reg, "document_id", "left")).select("request_id", "document_id", "verdict")
 
 
@@ -344,9 +362,12 @@ def eval_rollup(spark: SparkSession, d: str) -> DataFrame:
     return r.rollup("run_id", "is_complex").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("passed").cast("int")).alias("passed"), F.round(F.avg("latency_s"), 6).alias("latency"))
 
 
-@query("SELECT document_id, 'v1' AS version, count(*) AS pages, count(DISTINCT page_number) AS numbers FROM doc_pages GROUP BY document_id")
+@query("SELECT document_id || CASE WHEN CAST(right(document_id, 2) AS INT) % 3 = 0 THEN '-v' || CAST(right(document_id, 1) AS INT) ELSE '' END AS document_id, CASE WHEN CAST(right(document_id, 2) AS INT) % 3 = 0 THEN 'v' || CAST(right(document_id, 1) AS INT) ELSE 'v1' END AS version, count(*) AS pages, count(DISTINCT page_number) AS numbers FROM doc_pages GROUP BY 1, 2")
 def document_registry(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "doc_pages").groupBy("document_id").agg(F.count(F.lit(1)).alias("pages"), F.countDistinct("page_number").alias("numbers"))
+    """Documents with their version; every third id states one."""
+    n = F.right(F.col("document_id"), F.lit(2)).cast("int")
+    p = table(spark, d, "doc_pages").withColumn("document_id", F.concat("document_id", F.when(n % 3 == 0, F.concat(F.lit("-v"), F.right(F.col("document_id"), F.lit(1)))).otherwise("")))
+    p = p.groupBy("document_id").agg(F.count(F.lit(1)).alias("pages"), F.countDistinct("page_number").alias("numbers"))
     return p.select("document_id", version_of(F.col("document_id")).alias("version"), "pages", "numbers")
 
 

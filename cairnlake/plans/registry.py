@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairnlake.plans import assembled, clinical, data_quality, facts, library, pages, search
+from cairnlake.plans import assembled, chunked, clinical, data_quality, facts, library, pages, search
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -12,5 +12,5 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return library.bm25_topk(spark, sf_dir)
 
 
-QUERIES = {**data_quality.QUERIES, **library.QUERIES, **clinical.QUERIES, **facts.QUERIES, **assembled.QUERIES, **pages.QUERIES, **search.QUERIES}
-ORACLES = {**data_quality.ORACLES, **library.ORACLES, **clinical.ORACLES, **facts.ORACLES, **assembled.ORACLES, **pages.ORACLES, **search.ORACLES}
+QUERIES = {**data_quality.QUERIES, **library.QUERIES, **clinical.QUERIES, **facts.QUERIES, **assembled.QUERIES, **pages.QUERIES, **search.QUERIES, **chunked.QUERIES}
+ORACLES = {**data_quality.ORACLES, **library.ORACLES, **clinical.ORACLES, **facts.ORACLES, **assembled.ORACLES, **pages.ORACLES, **search.ORACLES, **chunked.ORACLES}
