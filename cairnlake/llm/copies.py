@@ -109,7 +109,7 @@ def radix_buckets(partials: DataFrame, bucket_rows: int) -> list[DataFrame]:
     first byte in which their keys differ, the others are done and not read
     again.  Nothing of it passes through the driver.
     """
-    parts, open_ = [], partials.withColumn("bucket", F.lit(b""))
+    parts, open_ = [], partials.withColumn("bucket", F.expr("substring(key, 1, 1)"))
     while True:
         sizes = open_.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("low"), F.max("key").alias("high"))
         large = sizes.filter((F.col("n") > bucket_rows) & (F.col("low") != F.col("high"))).select("bucket", "low", "high")

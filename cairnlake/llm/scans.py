@@ -258,10 +258,14 @@ def broken(lines: list[str], labels: list[str]) -> dict[int, tuple[str, str, str
     body = [i for i, lab in enumerate(labels) if lab == "body"]
     out = {}
     for k, i in enumerate(body):
-        m = _BREAK.search(lines[i])
+        end = lines[i].rstrip()
+        if end[-1:] not in HYPHENS or not end:
+            continue
+        last = end[-LONGEST_WORD - 8 :].split()[-1]
+        m = _BREAK.search(last)
         if not m:
             continue
-        before = re.search(r"\S*$", lines[i][: m.end(1)])[0].lstrip(_STRIP_LEFT)
+        before = last[: m.end(1)].lstrip(_STRIP_LEFT)
         if len(before) > LONGEST_WORD:
             continue
         if k + 1 < len(body):
