@@ -31,15 +31,6 @@ def neighbours(hits: DataFrame, every: DataFrame, document: str, index: str, rea
     return every.join(want, [document, index], "left_semi")
 
 
-def shared_edge(before: Column, after: Column, longest: int = 250, shortest: int = 31) -> Column:
-    """Length of the longest end of ``before`` that begins ``after``, else 0."""
-    a, b = F.coalesce(before, F.lit("")), F.coalesce(after, F.lit(""))
-    top = F.least(F.length(a), F.length(b), F.lit(longest))
-    sizes = F.when(top >= shortest, F.sequence(top, F.lit(shortest), F.lit(-1)))
-    hit = F.filter(sizes, lambda n: F.substring(b, F.lit(1), n) == F.right(a, n))
-    return F.coalesce(F.try_element_at(hit, F.lit(1)), F.lit(0))
-
-
 def confidence(n: Column, top: Column) -> Column:
     return (
         F.when(n == 0, "NO_EVIDENCE")

@@ -13,7 +13,7 @@ from cairnlake.streaming import windows
 QUERY = ["worsening", "chest", "tightness", "creatinine", "review"]
 
 # Invented prices a million tokens (input, cached input or null, output): names are matched whole, by longest prefix, then by family.
-PRICES = [("clin-mini", 0.4, 0.1, 1.6), ("clin-mini-4", 0.5, 0.125, 2.0), ("clin-large", 2.0, 0.5, 8.0), ("fern-2-flash", 0.3, None, 2.5)]
+PRICES = [("clin-mini", 0.4, 0.1, 1.6), ("clin-mini-4", 0.5, 0.12, 2.0), ("clin-large", 2.0, 0.5, 8.0), ("fern-2-flash", 0.3, None, 2.5)]
 FAMILIES = [("flash", "fern-2-flash"), ("large", "clin-large")]
 
 QUERIES: dict = {}
@@ -199,14 +199,14 @@ _FAMILY_ROWS = ", ".join(f"({k}, '{w}', '{m}')" for k, (w, m) in enumerate(FAMIL
 
 @query(f"""WITH p(m, i, c, o) AS (VALUES {_PRICE_ROWS}), f(k, w, m) AS (VALUES {_FAMILY_ROWS}), n AS (SELECT DISTINCT model FROM usage_records),
   b AS (SELECT model, coalesce((SELECT arg_max(m, length(m)) FROM p WHERE starts_with(lower(model), m)), (SELECT arg_min(m, k) FROM f WHERE contains(lower(model), w))) AS priced_as FROM n)
-  SELECT record_id, b.priced_as, CAST(round(round(((coalesce(input_tokens, 0) - k) * coalesce(p.i, 0) + k * coalesce(p.c, p.i, 0) + coalesce(output_tokens, 0) * coalesce(p.o, 0)) / 1000000, 8), 6) AS DOUBLE) AS cost
+  SELECT record_id, b.priced_as, CAST(round(((coalesce(input_tokens, 0) - k) * coalesce(p.i, 0) + k * coalesce(p.c, p.i, 0) + coalesce(output_tokens, 0) * coalesce(p.o, 0)) / 1000000, 8) AS DOUBLE) AS cost
   FROM (SELECT u.*, greatest(0, least(coalesce(cached_input_tokens, 0), coalesce(input_tokens, 0))) AS k FROM usage_records u) u LEFT JOIN b ON b.model IS NOT DISTINCT FROM u.model LEFT JOIN p ON p.m = b.priced_as""")
 def price_longest_prefix(spark: SparkSession, d: str) -> DataFrame:
     prices = listed(spark, PRICES, "priced_as string, rate_in double, rate_cached double, rate_out double")
     u = records.longest_prefix(table(spark, d, "usage_records"), prices, "model", "priced_as", FAMILIES)
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     c = records.cost(F.col("input_tokens"), F.col("cached_input_tokens"), F.col("output_tokens"), zero("rate_in"), F.coalesce("rate_cached", "rate_in", F.lit(0.0)), zero("rate_out"))
-    return u.select("record_id", "priced_as", F.round(c, 6).alias("cost"))
+    return u.select("record_id", "priced_as", c.alias("cost"))
 
 
 @query("SELECT model, count(*) AS n FROM (SELECT CASE WHEN contains(lower(coalesce(model, '')), 'gemini') THEN 'google' WHEN regexp_matches(lower(coalesce(model, '')), 'gpt|o1|o3|o4') THEN 'openai' ELSE 'unknown' END AS model FROM (SELECT model FROM usage_records UNION ALL SELECT 'gpt-' || model FROM usage_records UNION ALL SELECT 'Gemini ' || provider FROM usage_records)) GROUP BY model")
