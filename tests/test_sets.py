@@ -1,8 +1,12 @@
 """Forms of the searches that take a set of queries, against brute force."""
 
+import math
+import random
+from collections import Counter
+
 import numpy as np
 
-from cairnlake.operators import records, vectors
+from cairnlake.operators import lexical, records, vectors
 
 
 def _vectors(spark, n=60, d=8):
@@ -43,3 +47,52 @@ def test_identity_of_every_request(spark):
         (0, "MRN-2024-0000001", 100.0), (1, "MRN-2024-0000001", 100.0), (2, "MRN-2024-0000002", 71.67), (3, "MRN-2024-0000001", 77.5),
         (3, "MRN-2024-0000002", 71.67), (4, "X7", 100.0), (5, "--", 100.0),
     ]
+
+
+def shuffled_rows(spark):
+    """Rows that all stages so far have written for a shuffle."""
+    sc = spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def _okapi(texts, asked, k):
+    """Brute force over (id, text) and (query, text); rows of one id count as one text."""
+    words = [(i, (t or "").split()) for i, t in texts]
+    n, avg = len(words), sum(len(w) for _, w in words) / len(words)
+    idf = {x: math.log(n - m + 0.5) - math.log(m + 0.5) for x, m in Counter(x for _, w in words for x in set(w)).items()}
+    floor = 0.25 * sum(idf.values()) / len(idf)
+    tf = Counter((i, len(w), x) for i, w in words for x in w)
+    out = set()
+    for q in {q for q, _ in asked}:
+        qtf, score = Counter(x for p, t in asked if p == q for x in t.split()), Counter()
+        for (i, length, x), f in tf.items():
+            score[i] += qtf[x] * (idf[x] if idf[x] >= 0 else floor) * f * 2.5 / (f + 1.5 * (0.25 + 0.75 * length / avg))
+        best = sorted((-round(s, 9), i) for i, s in score.items() if s > 0)[:k]
+        out |= {(q, i, r, round(-s, 6)) for r, (s, i) in enumerate(best)}
+    return out
+
+
+def test_lexical_search_of_every_query_without_its_pairs(spark):
+    draw = random.Random(3)
+    some = [f"w{i}" for i in range(40)]
+    texts = [(i, " ".join(["note", *draw.choices(some, range(1, 41), k=draw.randrange(2, 30))])) for i in range(600)]
+    texts += [(9000 + i, t) for i, t in texts[:40]] + [(700, "w1 w2"), (700, "w1 w2"), (700, "w1 w5 w6"), (701, None), (702, "")]
+    asked = [(20 * i, " ".join(["note", *draw.choices(some, k=i % 7)])) for i in range(80)] + [(20, "w3"), (2000, "w1 w1 w2"), (2020, "nowhere"), (2040, "note")]
+    df, queries = spark.createDataFrame(texts, "id long, t string").repartition(3), spark.createDataFrame(asked, "q long, asked string")
+    before = shuffled_rows(spark)
+    got = {(r.q, r.id, r["rank"], round(r.score, 6)) for r in lexical.bm25_set(df, queries, "q", "asked", "id", "t", 5).collect()}
+    assert got == _okapi(texts, asked, 5)
+    assert shuffled_rows(spark) - before < 10_000  # of 80 x 640 pairs nearly all share a word
+    assert lexical.bm25_set(df.limit(0), queries, "q", "asked", "id", "t", 5).count() == 0 and lexical.bm25_set(df, queries.limit(0), "q", "asked", "id", "t", 5).count() == 0
+
+
+def test_lexical_search_in_blocks(spark, monkeypatch):
+    """Whatever is held at once, the best are the same, equal ones by id."""
+    monkeypatch.setattr(lexical, "BLOCK_CELLS", 40)
+    monkeypatch.setattr(lexical, "SORTED_ROWS", 30)
+    texts = [(f"d{i:03}", f"note {'pain ' * (i % 4)}{'cough' if i % 3 else ''}".strip()) for i in range(200)]
+    asked = [(1, "pain"), (2, "cough note"), (3, "pain cough"), (4, "pain")]
+    df, queries = spark.createDataFrame(texts, "id string, t string").coalesce(1), spark.createDataFrame(asked, "q long, asked string")
+    got = {(r.q, r.id, r["rank"], round(r.score, 6)) for r in lexical.bm25_set(df, queries, "q", "asked", "id", "t", 7).collect()}
+    assert got == _okapi(texts, asked, 7)
