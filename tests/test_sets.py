@@ -7,6 +7,9 @@ from collections import Counter
 import numpy as np
 
 from cairnlake.operators import lexical, records, vectors
+from cairnlake.plans import search
+
+from conftest import SMALL
 
 
 def _vectors(spark, n=60, d=8):
@@ -56,6 +59,10 @@ def shuffled_rows(spark):
     return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
 
 
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 def _okapi(texts, asked, k):
     """Brute force over (id, text) and (query, text); rows of one id count as one text."""
     words = [(i, (t or "").split()) for i, t in texts]
@@ -96,3 +103,8 @@ def test_lexical_search_in_blocks(spark, monkeypatch):
     df, queries = spark.createDataFrame(texts, "id string, t string").coalesce(1), spark.createDataFrame(asked, "q long, asked string")
     got = {(r.q, r.id, r["rank"], round(r.score, 6)) for r in lexical.bm25_set(df, queries, "q", "asked", "id", "t", 7).collect()}
     assert got == _okapi(texts, asked, 7)
+
+
+def test_hybrid_search_makes_each_list_once(spark):
+    plan = _plan(search.hybrid_search(spark, SMALL))
+    assert (plan.count("MapInArrow"), plan.count("MapInPandas"), plan.count("SortMergeJoin")) == (1, 3, 0)
