@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairnlake.session import broadcast_if_small
+from cairnlake.session import bounded, broadcast_if_small
 
 
 @dataclass(frozen=True)
@@ -98,7 +98,8 @@ def identity_score(query: Column, mrn: Column, name: Column) -> Column:
 
 def identity_matches(requests: DataFrame, request_id: str, text: str, patients: DataFrame, mrn: str, name: str, least: float = 70.0) -> DataFrame:
     """Patients of ``identity_score`` at ``least`` (over 60) or more for every request. Pairs meet by the last characters
-    of the record number, the first ones of the name or a word of it, so each that can score is compared and no other."""
+    of the record number, the first ones of the name or a word of it, so each that can score is compared and no other.
+    Requests move only with what patients have too, and a pair is taken where the first of these meets, so no pair moves."""
 
     def squeezed(c: Column) -> Column:
         return F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]", "")
@@ -112,12 +113,19 @@ def identity_matches(requests: DataFrame, request_id: str, text: str, patients:
     p = patients.select(F.when(squeezed(F.col(mrn)) != "", F.col(mrn)).alias("_m"), F.col(mrn), F.col(name), squeezed(F.col(mrn)).alias("_s"), name_key(F.col(name)).alias("_n")).distinct()
     tail, head = F.substring("_s", -6, 6), F.substring("_n", 1, 4)
     sizes = p.select(F.collect_set(F.length(tail)).alias("t"), F.collect_set(F.length(head)).alias("h")).first()
-    keys = F.concat(tagged("m", F.array(tail)), tagged("n", F.array(head)), tagged("w", F.split("_n", " ")))
-    p = p.select("_m", mrn, name, F.explode(F.array_distinct(F.filter(keys, lambda x: F.length(x) > 1))).alias("_k"))
+    named = lambda tag, c: F.when(c != "", F.array(F.struct(F.concat(F.lit(tag), c).alias("k"), F.array().cast("array<string>").alias("before")))).otherwise(F.array().cast("array<struct<k:string,before:array<string>>>"))
+    words = F.array_distinct(F.filter(F.split("_n", " "), lambda x: x != ""))
+    keys = F.concat(named("m", tail), named("n", head), F.transform(words, lambda x, i: F.struct(F.concat(F.lit("w"), x).alias("k"), F.slice(words, F.lit(1), i).alias("before"))))
+    p = p.select("_m", mrn, name, tail.alias("_tail"), head.alias("_head"), F.explode(keys).alias("_e")).select("_m", mrn, name, "_tail", "_head", F.col("_e.k").alias("_k"), F.col("_e.before").alias("_before"))
     s, q = squeezed(F.col(text)), name_key(F.col(text))
     parts = [tagged("m", pieces(s, n)) for n in sizes.t if n] + [tagged("n", pieces(q, n)) for n in sizes.h if n] + [tagged("w", F.split(q, " "))]
     r = requests.select(request_id, text, F.explode(F.array_distinct(F.concat(*parts))).alias("_k"))
-    pairs = r.join(broadcast_if_small(p), "_k").drop("_k").distinct()
+    shared = bounded(r.select("_k").distinct().join(p.select("_k").distinct(), "_k"), 100_000)
+    met = r.join(shared, "_k").join(p, "_k")
+    by_number, by_start = (F.col("_tail") != "") & F.contains(s, F.col("_tail")), (F.col("_head") != "") & F.contains(q, F.col("_head"))
+    kind = F.substring("_k", 1, 1)
+    first = (kind == "m") | ~by_number & ((kind == "n") | ~by_start & ~F.arrays_overlap("_before", F.split(q, " ")))
+    pairs = met.filter(first)
     return pairs.withColumn("score", identity_score(F.col(text), F.col("_m"), F.col(name))).filter(F.col("score") >= least).select(request_id, mrn, name, "score")
 
 

@@ -108,3 +108,13 @@ def test_lexical_search_in_blocks(spark, monkeypatch):
 def test_hybrid_search_makes_each_list_once(spark):
     plan = _plan(search.hybrid_search(spark, SMALL))
     assert (plan.count("MapInArrow"), plan.count("MapInPandas"), plan.count("SortMergeJoin")) == (1, 3, 0)
+
+
+def test_identities_without_their_pairs(spark):
+    """Neither are pairs moved nor patients sent through the driver; requests that are there twice count twice."""
+    p = spark.createDataFrame([(f"MRN-2024-{i:07}", f"Ann Lee W{i}") for i in range(120)], "mrn string, name string")
+    r = spark.createDataFrame([(i, "results of ann lee, please") for i in range(100)] + [(0, "results of ann lee, please")], "id int, t string")
+    before = shuffled_rows(spark)
+    d = records.identity_matches(r, "id", "t", p, "mrn", "name")
+    assert d.count() == 101 * 120
+    assert shuffled_rows(spark) - before < 10_000
