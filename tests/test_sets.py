@@ -115,6 +115,11 @@ def test_missing_sources_makes_each_list_once(spark):
     assert (plan.count("MapInArrow"), plan.count("MapInPandas")) == (1, 3)
 
 
+def test_evidence_makes_each_list_once(spark):
+    plan = _plan(search.search_evidence(spark, SMALL))
+    assert (plan.count("MapInArrow"), plan.count("MapInPandas")) == (1, 3)
+
+
 def test_identities_without_their_pairs(spark):
     """Neither are pairs moved nor patients sent through the driver; requests that are there twice count twice."""
     p = spark.createDataFrame([(f"MRN-2024-{i:07}", f"Ann Lee W{i}") for i in range(120)], "mrn string, name string")
