@@ -6,7 +6,7 @@ from collections import Counter
 
 import numpy as np
 
-from cairnlake.operators import lexical, records, vectors
+from cairnlake.operators import lexical, records, retrieval, vectors
 from cairnlake.plans import search
 
 from conftest import SMALL
@@ -120,6 +120,33 @@ def test_evidence_makes_each_list_once(spark):
     assert (plan.count("MapInArrow"), plan.count("MapInPandas")) == (1, 3)
 
 
+def test_evidence_without_a_shuffle_of_texts(spark, same, monkeypatch):
+    """Beside the searches no join is shuffled, whatever the sizes; where hits are too many to be sent, the answer is the same."""
+    sizes = "spark.sql.autoBroadcastJoinThreshold"
+    spark.conf.set(sizes, "-1")
+    try:
+        ours, lists = (_plan(f(spark, SMALL)).count("SortMergeJoin") for f in (search.search_evidence, search.hybrid_search))
+        assert ours == lists
+        same(search.search_evidence(spark, SMALL), search.ORACLES["search_evidence"])
+    finally:
+        spark.conf.unset(sizes)
+    for bound in ("SENT_BYTES", "SENT_HITS"):
+        monkeypatch.setattr(retrieval, bound, 0)
+        same(search.search_evidence(spark, SMALL), search.ORACLES["search_evidence"])
+
+
+def test_texts_of_hits_go_out_of_their_task_only_as_hits(spark):
+    """Queries and texts whose id is there twice count twice; hits without a text or a query do not count."""
+    docs = spark.range(4000).selectExpr("id AS i", "repeat('x', 50) || id AS t").union(spark.createDataFrame([(7, "again")], "i long, t string")).coalesce(3)
+    queries = spark.createDataFrame([(20, "a"), (20, "b"), (40, None), (60, "c")], "q long, asked string")
+    hits = spark.createDataFrame([(20, 7, 0), (20, 8, 1), (40, 7, 0), (40, 9999, 1), (80, 1, 0)], "q long, i long, rank int")
+    before = shuffled_rows(spark)
+    got = sorted((r.q, r.asked or "", r.i, r["rank"], r.t) for r in retrieval.with_texts(hits, queries, docs, "q", "asked", "i", 2).collect())
+    assert shuffled_rows(spark) - before < 100
+    x = "x" * 50
+    assert got == sorted([(20, a, 7, 0, t) for a in "ab" for t in ("again", x + "7")] + [(20, a, 8, 1, x + "8") for a in "ab"] + [(40, "", 7, 0, t) for t in ("again", x + "7")])
+
+
 def test_identities_without_their_pairs(spark):
     """Neither are pairs moved nor patients sent through the driver; requests that are there twice count twice."""
     p = spark.createDataFrame([(f"MRN-2024-{i:07}", f"Ann Lee W{i}") for i in range(120)], "mrn string, name string")
